@@ -28,14 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialize, sized_broadcast, table
+from chronoloom.llm.common import materialize, table
 
 LENGTH, K = 400, 128
 CROWD, CELL = 64, 34
 #: Bytes of runs put in suffix order at once; a group of at most CROWD runs is never split.
 BATCH_BYTES = 1 << 20
-#: Per-document lists that are broadcast (under 100 bytes each on average); more are joined by shuffle.
-BROADCAST_ROWS = 120_000
 U64, BASE = np.uint64, 0x9E3779B97F4A7C15
 BLOCK = 1 << 18
 PLACE_BITS = 20
@@ -273,7 +271,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     compared = materialize(classes.join(groups.drop("least"), "akey").select("akey", "digest", "rep.*", "classes"), "compared")
 
     wanted = compared.groupBy("id", "th").agg(F.collect_list(F.struct("akey", "digest", "place", "meta", "classes")).alias("_s"))
-    wanted = sized_broadcast(materialize(wanted.select(F.col("id").alias("_rid"), F.col("th").alias("_rth"), "_s"), "wanted"), BROADCAST_ROWS // 8)
+    wanted = materialize(wanted.select(F.col("id").alias("_rid"), F.col("th").alias("_rth"), "_s"), "wanted")
     hashed = rows.withColumn("_th", F.xxhash64("_text"))
     texts = hashed.join(wanted, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_th") == F.col("_rth"))).select("_id", "_th", "_text", "_s")
 
@@ -297,7 +295,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     solved = materialize(solved.filter(F.size("every") > 0), "solved")
 
     both = classes.join(solved, ["akey", "digest"], "left").filter((F.col("n") > 1) | F.col("every").isNotNull())
-    matched = found.join(both.select("akey", "digest", "n", "rep", "every", "later"), ["akey", "digest"])
+    # written first, so that the next join reads two tables and a class of very many runs can be split
+    both = materialize(both.select("akey", "digest", "n", "rep", "every", "later"), "matches")
+    matched = found.join(both, ["akey", "digest"])
     whole = F.array(F.struct(F.lit(0).alias("a"), F.shiftright("meta", 12).alias("b"))).cast(SPANS_SQL)
     nothing = F.array().cast(SPANS_SQL)
     if keep_first:
@@ -305,7 +305,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         spans = F.when(F.col("n") > 1, whole).otherwise(F.col("every"))
     bytes_of = F.transform(spans, lambda s: F.struct((F.col("place") + s.a).alias("a"), (F.col("place") + s.b - 1 + length).alias("b")))
-    return matched.select("id", "th", bytes_of.alias("s")).groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("spans"))
+    return matched.select("id", "th", bytes_of.alias("s")).groupBy("id", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, keep_first: bool = False, with_text: bool = True) -> DataFrame:
@@ -317,7 +317,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other. Other columns are not read; an empty table gives an empty result.
     """
     spans = materialize(repeated_spans(docs, id_col, text_col, length, k, keep_first), "spans")
-    spans = sized_broadcast(spans.select(F.col("id").alias("_rid"), F.col("th").alias("_rth"), "spans"), BROADCAST_ROWS)
+    spans = spans.select(F.col("id").alias("_rid"), F.col("th").alias("_rth"), "spans")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_th", F.xxhash64("_text"))
     both = rows.join(spans, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_th") == F.col("_rth")), "left").select("_id", "_text", "spans")
 
@@ -327,7 +327,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for text, found in zip(batch.column(1), batch.column(2), strict=True):
                 data = (text.as_py() or "").encode()
                 merged: list[list[int]] = []
-                for s in sorted((x["a"], x["b"]) for x in found.as_py() or ()):
+                for s in sorted({(x["a"], x["b"]) for x in found.as_py() or ()}):
                     if merged and s[0] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], s[1])
                     else:
