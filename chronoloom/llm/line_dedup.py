@@ -87,7 +87,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     place = F.struct("id", "th", "start")
     seen = chunks(rows, False).groupBy("h", "size").agg(F.count("*").alias("c"), F.min(place).alias("first"))
     repeated = materialize(seen.filter("c > 1").select("h", "size", "first"), "repeated")
-    copies = materialize(chunks(rows, True).join(repeated, ["h", "size"]), "copies")
+    copies = materialize(chunks(rows, True).join(repeated.hint("merge"), ["h", "size"]), "copies")
     is_first = place.eqNullSafe(F.col("first"))
     kept = copies.filter(is_first).dropDuplicates(["h", "size"]).select("h", "size", F.col("chunk").alias("original"))
     later = copies.filter(~is_first).join(kept, ["h", "size"]).filter(F.col("chunk") == F.col("original"))
@@ -96,7 +96,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     # Spark's xxhash64 of a string is XXH64 of its UTF-8 bytes with seed 42, as the kernel computes it
     hashed = docs.withColumn("_th", F.xxhash64(F.col(text_col).cast("string")))
-    both = hashed.join(ranges, F.col(id_col).eqNullSafe(F.col("_rid")) & (F.col("_th") == F.col("_rth")), "left")
+    both = hashed.join(ranges.hint("merge"), F.col(id_col).eqNullSafe(F.col("_rid")) & (F.col("_th") == F.col("_rth")), "left")
     lines = both.withColumn("_l", F.split(F.col(text_col), "\n", -1))
     gap = """transform(sequence(0, size(_r)), k -> slice(_l, case when k = 0 then 1 else _r[k - 1].start + _r[k - 1].n + 1 end,
       case when k = size(_r) then size(_l) else _r[k].start end - case when k = 0 then 0 else _r[k - 1].start + _r[k - 1].n end))"""
