@@ -241,7 +241,8 @@ def lookup(spark: SparkSession, archive: Archive, wanted: DataFrame, with_payloa
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=False)], names=names)
 
     schema = f"id {archive.id_type}, payload_bytes bigint, payload_digest string, record_type string, refers_to {archive.id_type}" + (", payload binary" if with_payload else "")
-    asked = wanted.select("key", "id").distinct().repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    # as many tasks as archives: requests are small but each costs a read, so their bytes mustn't decide the number
+    asked = wanted.select("key", "id").distinct().repartitionByRange(max(1, len(archive.parts)), "key", "id").sortWithinPartitions("key", "id")
     return asked.mapInArrow(kernel, schema)
 
 
