@@ -7,37 +7,71 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.operators.assign import assign_blocks
-from chronoloom.operators.codec import pack_block, unpack_block
+from chronoloom.operators.codec import pack_blocks, unpack_block
 from chronoloom.schema import BLOCK_SCHEMA, DEFAULT_DURATION_MS, KEYS, check_variables, points_schema, validate_points
 
 MAX_TS = (1 << 63) - 1
-LARGE_BLOCK_POINTS = 5_000_000
+LARGE_BLOCK_POINTS, OUT_ROWS = 5_000_000, 20_000
 
 
 def pack(assigned: DataFrame, variables: Sequence[str], codec: str = "standard") -> DataFrame:
-    """Pack points that carry block_start; one task-side group per (series, epoch, block)."""
+    """Pack points that carry block_start.
+
+    Points are dealt by (series, epoch, block) and sorted, and a task encodes
+    all whole blocks of an Arrow batch at once; only a block longer than a batch
+    is held back until it ends.
+    """
     if codec not in ("standard", "guarded"):
         raise ValueError("codec must be standard or guarded")
     names = check_variables(variables)
 
-    def kernel(group: pa.Table) -> pa.Table:
-        order = np.argsort(group["seq"].to_numpy(), kind="stable")
-        ts = group["ts"].to_numpy()[order]
-        if len(ts) > LARGE_BLOCK_POINTS:
-            warnings.warn(f"a block holds {len(ts)} points; late data may have piled up in it", stacklevel=2)
-        values = np.stack([group[v].to_numpy()[order] for v in names], axis=1)
-        payload, bits = pack_block(ts, values, codec == "guarded")
-        first = {c: group[c][0].as_py() for c in KEYS}
-        row = first | {"n": len(ts), "min_ts": int(ts.min()), "max_ts": int(ts.max()), "codec": codec, "bit_len": bits}
-        row |= {"size_bytes": len(payload), "payload": payload}
-        return pa.Table.from_pylist([row], schema=ARROW_BLOCKS)
+    def encode(rows: pa.Table) -> pa.RecordBatch:
+        keys = [rows[c].combine_chunks() for c in KEYS]
+        starts = np.append(0, np.flatnonzero(changes(keys)) + 1)
+        counts = np.diff(np.append(starts, rows.num_rows))
+        if counts.max() > LARGE_BLOCK_POINTS:
+            warnings.warn(f"a block holds {counts.max()} points; late data may have piled up in it", stacklevel=2)
+        ts = rows["ts"].to_numpy()
+        done = pack_blocks(ts, np.stack([rows[v].to_numpy() for v in names], axis=1), starts, codec == "guarded")
+        m = len(starts)
+        columns = [k.take(pa.array(starts)) for k in keys]
+        columns += [pa.array(counts), pa.array(np.minimum.reduceat(ts, starts)), pa.array(np.maximum.reduceat(ts, starts)), pa.array([codec] * m)]
+        columns += [pa.array([bits for _, bits in done]), pa.array([len(p) for p, _ in done]), pa.array([p for p, _ in done], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, schema=ARROW_BLOCKS)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cuts = np.flatnonzero(changes([batch[c] for c in KEYS])) + 1
+            fresh = bool(held) and any(held[-1][c][held[-1].num_rows - 1] != batch[c][0] for c in KEYS)
+            last = int(cuts[-1]) if cuts.size else 0
+            if fresh or last:
+                done = pa.Table.from_batches([*held, *([batch.slice(0, last)] if last else [])])
+                if done.num_rows:
+                    yield encode(done)
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield encode(pa.Table.from_batches(held))
 
     cols = [*KEYS, "seq", "ts", *(F.col(f"`{v}`") for v in names)]
-    return assigned.select(*cols).groupBy(*KEYS).applyInArrow(kernel, BLOCK_SCHEMA)
+    dealt = assigned.select(*cols).repartition(*KEYS).sortWithinPartitions(*KEYS, "seq")
+    return dealt.mapInArrow(kernel, BLOCK_SCHEMA)
+
+
+def changes(keys: list) -> np.ndarray:
+    """Where a row's key differs from the row before, from the second row on."""
+    out = np.zeros(max(0, len(keys[0]) - 1), bool)
+    for k in keys:
+        out |= pc.not_equal(k.slice(1), k.slice(0, len(k) - 1)).to_numpy(zero_copy_only=False)
+    return out
 
 
 ARROW_BLOCKS = pa.schema(
@@ -91,6 +125,18 @@ def unpack(blocks: DataFrame, variables: Sequence[str], t0: int | None = None, t
     schema = points_schema(names)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        rows = 0
+
+        def emit() -> pa.RecordBatch:
+            counts = [len(p[3]) for p in parts]
+            repeat = pa.array(np.repeat(np.arange(len(parts)), counts))
+            columns = [pa.array([p[i] for p in parts], t).take(repeat) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))]
+            values = np.concatenate([p[5] for p in parts])
+            columns += [pa.array(np.concatenate([p[3] for p in parts])), pa.array(np.concatenate([p[4] for p in parts]))]
+            columns += [pa.array(np.ascontiguousarray(values[:, j])) for j in range(len(names))]
+            return pa.RecordBatch.from_arrays(columns, names=["series_key", "epoch", "block_start", "pos", "ts", *names])
+
         for batch in batches:
             for key, epoch, start, n, payload in zip(*(batch[c].to_pylist() for c in (*KEYS, "n", "payload")), strict=True):
                 ts, values = unpack_block(payload, n, len(names))
@@ -98,10 +144,13 @@ def unpack(blocks: DataFrame, variables: Sequence[str], t0: int | None = None, t
                 if t0 is not None or t1 is not None:
                     at = np.flatnonzero((ts >= (t0 if t0 is not None else -MAX_TS - 1)) & (ts <= (t1 if t1 is not None else MAX_TS)))
                 if at.size:
-                    m = len(at)
-                    columns = [pa.array([key] * m, pa.string()), pa.array([epoch] * m, pa.int32()), pa.array([start] * m, pa.int64())]
-                    columns += [pa.array(at), pa.array(ts[at]), *(pa.array(np.ascontiguousarray(values[at, j])) for j in range(len(names)))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["series_key", "epoch", "block_start", "pos", "ts", *names])
+                    parts.append((key, epoch, start, at, ts[at], values[at]))
+                    rows += len(at)
+                if rows >= OUT_ROWS:
+                    yield emit()
+                    parts, rows = [], 0
+        if parts:
+            yield emit()
 
     return blocks.select(*KEYS, "n", "payload").mapInArrow(kernel, schema)
 

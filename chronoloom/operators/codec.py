@@ -164,66 +164,111 @@ def zero_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lead, trail
 
 
-def pack_block(ts: np.ndarray, values: np.ndarray, guarded: bool = False) -> tuple[bytes, int]:
-    """Payload and exact bit length of n >= 1 points with k variables (values has shape (n, k))."""
-    ts = np.ascontiguousarray(ts, np.int64)
-    images = np.ascontiguousarray(values, np.float64).view(U64)
+def _codes(ts: np.ndarray, images: np.ndarray, starts: np.ndarray, guarded: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(code, width) of shape (n, 1 + k, 2): head and payload of every timestamp and value code."""
     n, k = images.shape
+    block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    rank = np.arange(n) - starts[block]
     code, width = np.zeros((n, 1 + k, 2), U64), np.zeros((n, 1 + k, 2), np.int64)
-    code[0, 0, 1], width[0, 0, 1] = ts[:1].view(U64)[0], 64
-    if n > 1:
-        delta = ts[1:] - ts[:-1]
-        code[1, 0, 1], width[1, 0, 1] = delta[:1].view(U64)[0], 64
-        dod = delta[1:] - delta[:-1]
-        if dod.size and (dod.min() < -(1 << 31) or dod.max() >= 1 << 31):
-            raise ValueError("delta-of-delta doesn't fit 32 signed bits")
-        left = dod != 0
-        width[2:, 0, 0] = np.where(left, 0, 1)
-        for prefix, size, payload in PREFIXES:
-            now = left & (dod >= -(1 << (payload - 1))) & (dod < 1 << (payload - 1))
-            at = 2 + np.flatnonzero(now)
-            code[at, 0, 0], width[at, 0, 0], width[at, 0, 1] = prefix, size, payload
-            code[at, 0, 1] = (dod[now] & ((1 << payload) - 1)).astype(U64)
-            left &= ~now
-    code[0, 1:, 1], width[0, 1:, 1] = images[0], 64
+    delta = np.diff(ts, prepend=ts[:1])
+    dod = np.diff(delta, prepend=delta[:1])
+    raw = np.where(rank == 0, ts, delta)
+    whole = rank < 2
+    code[whole, 0, 1], width[whole, 0, 1] = raw[whole].view(U64), 64
+    at = np.flatnonzero(~whole)
+    d = dod[at]
+    if d.size and (d.min() < -(1 << 31) or d.max() >= 1 << 31):
+        raise ValueError("delta-of-delta doesn't fit 32 signed bits")
+    width[at, 0, 0] = 1
+    left = d != 0
+    for prefix, size, payload in PREFIXES:
+        now = left & (d >= -(1 << (payload - 1))) & (d < 1 << (payload - 1))
+        rows = at[now]
+        code[rows, 0, 0], width[rows, 0, 0], width[rows, 0, 1] = prefix, size, payload
+        code[rows, 0, 1] = (d[now] & ((1 << payload) - 1)).astype(U64)
+        left &= ~now
+    first = rank == 0
     for j in range(k):
-        x = images[1:, j] ^ images[:-1, j]
-        width[1:, 1 + j, 0] = 1
-        at = np.flatnonzero(x)
-        if not at.size:
+        x = images[:, j].copy()
+        x[1:] ^= images[:-1, j]
+        code[first, 1 + j, 1], width[first, 1 + j, 1] = images[first, j], 64
+        width[~first, 1 + j, 0] = 1
+        x[first] = 0
+        rows = np.flatnonzero(x)
+        if not rows.size:
             continue
-        lead, trail = zero_counts(x[at])
+        lead, trail = zero_counts(x[rows])
         lead = np.minimum(lead, MAX_LEADING)
         head, size, span, shift = [], [], [], []
-        lp, tp = 255, 0
-        for a, b in zip(lead.tolist(), trail.tolist(), strict=True):
+        lp, tp, open_block = 255, 0, -1
+        for g, a, b in zip(block[rows].tolist(), lead.tolist(), trail.tolist(), strict=True):
+            if g != open_block:
+                lp, tp, open_block = 255, 0, g
             own, last = 64 - a - b, 64 - lp - tp
             if lp != 255 and a >= lp and b >= tp and not (guarded and last - own > GUARD_BITS):
                 head.append(0b10), size.append(2), span.append(last), shift.append(tp)
             else:
                 head.append(0b11 << 11 | a << 6 | (own - 1)), size.append(13), span.append(own), shift.append(b)
                 lp, tp = a, b
-        rows = 1 + at
         code[rows, 1 + j, 0], width[rows, 1 + j, 0] = np.array(head, U64), size
-        code[rows, 1 + j, 1], width[rows, 1 + j, 1] = x[at] >> np.array(shift, U64), span
-    return _emit(code.ravel(), width.ravel())
-
-
-def _emit(code: np.ndarray, width: np.ndarray) -> tuple[bytes, int]:
-    used = width > 0
-    code, width = code[used], width[used]
-    total = int(width.sum())
-    ends = np.cumsum(width)
-    out = []
-    for lo in range(0, len(code), 1 << 16):  # bounds the expanded bits, whatever the block's size
-        part = slice(lo, lo + (1 << 16))
-        w = width[part]
-        stop = np.cumsum(w)
-        owner = np.repeat(np.arange(len(w)), w)
-        place = stop[owner] - 1 - np.arange(int(stop[-1]))
-        out.append(((code[part][owner] >> place.astype(U64)) & U64(1)).astype(np.uint8))
-    assert not len(ends) or int(ends[-1]) == total
-    return np.packbits(np.concatenate(out)).tobytes(), total
+        code[rows, 1 + j, 1], width[rows, 1 + j, 1] = x[rows] >> np.array(shift, U64), span
+    return code, width
+
+
+def _bits(code: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """One byte per bit, most significant first."""
+    stop = np.cumsum(width)
+    owner = np.repeat(np.arange(len(width)), width)
+    place = stop[owner] - 1 - np.arange(len(owner))
+    return ((code[owner] >> place.astype(U64)) & U64(1)).astype(np.uint8)
+
+
+def _stream(code: np.ndarray, width: np.ndarray) -> bytes:
+    """Packed bytes of one long block, a slice of codes at a time."""
+    out, rest = [], np.zeros(0, np.uint8)
+    for lo in range(0, len(code), SLICE):
+        bits = np.concatenate([rest, _bits(code[lo : lo + SLICE], width[lo : lo + SLICE])])
+        full = len(bits) // 8 * 8
+        out.append(np.packbits(bits[:full]).tobytes())
+        rest = bits[full:]
+    return b"".join([*out, np.packbits(rest).tobytes()])
+
+
+SLICE = 1 << 18
+
+
+def pack_blocks(ts: np.ndarray, values: np.ndarray, starts: np.ndarray, guarded: bool = False) -> list[tuple[bytes, int]]:
+    """(payload, bit length) of consecutive blocks of points; starts holds each block's first row, values has shape (n, k).
+
+    Everything but the choice of XOR windows is computed for all blocks at once.
+    """
+    ts, images = np.ascontiguousarray(ts, np.int64), np.ascontiguousarray(values, np.float64).view(U64)
+    starts = np.asarray(starts, np.int64)
+    code, width = _codes(ts, images, starts, guarded)
+    per_row = code.shape[1] * 2
+    flat_code, flat_width = code.ravel(), width.ravel()
+    sizes = np.add.reduceat(width.reshape(len(ts), -1).sum(axis=1), starts)
+    edges = np.append(starts, len(ts)) * per_row
+    out, lo = [], 0
+    while lo < len(starts):
+        hi = lo + 1
+        while hi < len(starts) and edges[hi + 1] - edges[lo] <= SLICE:
+            hi += 1
+        a, z = edges[lo], edges[hi]
+        if hi == lo + 1 and z - a > SLICE:
+            out.append((_stream(flat_code[a:z], flat_width[a:z]), int(sizes[lo])))
+        else:
+            bits, at = _bits(flat_code[a:z], flat_width[a:z]), 0
+            for size in sizes[lo:hi].tolist():
+                out.append((np.packbits(bits[at : at + size]).tobytes(), size))
+                at += size
+        lo = hi
+    return out
+
+
+def pack_block(ts: np.ndarray, values: np.ndarray, guarded: bool = False) -> tuple[bytes, int]:
+    """Payload and exact bit length of one block of n >= 1 points with k variables."""
+    return pack_blocks(ts, values, np.zeros(1, np.int64), guarded)[0]
 
 
 def unpack_block(data: bytes, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:

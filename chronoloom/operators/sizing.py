@@ -21,13 +21,16 @@ from chronoloom.schema import KEYS, check_variables
 CODECS = ("standard", "guarded")
 
 
-def with_xor(assigned: DataFrame, variable: str, prefix: str = "") -> DataFrame:
-    """Add the image (vb), the XOR with the previous value of the block (x) and its window (l, t, m)."""
-    vb, x = F.col(f"{prefix}vb"), F.col(f"{prefix}x")
-    out = assigned.withColumn(f"{prefix}vb", double_bits(F.col(f"`{variable}`")))
-    out = out.withColumn(f"{prefix}x", vb.bitwiseXOR(F.lag(vb).over(block_order())))
-    out = out.withColumns({f"{prefix}l": F.when(x != 0, leading(x)), f"{prefix}t": F.when(x != 0, ctz64(x))})
-    return out.withColumn(f"{prefix}m", 64 - F.col(f"{prefix}l") - F.col(f"{prefix}t"))
+def with_xor(assigned: DataFrame, variables: Sequence[str], prefixes: Sequence[str] = ("",)) -> DataFrame:
+    """Add per variable the image (vb), the XOR with the previous value of the block (x) and its window (l, t, m).
+
+    All images come from one Arrow pass and all lags from one window.
+    """
+    vb, x = ({p: F.col(f"{p}{c}") for p in prefixes} for c in ("vb", "x"))
+    out = assigned.withColumns({f"{p}vb": double_bits(F.col(f"`{v}`")) for v, p in zip(variables, prefixes, strict=True)})
+    out = out.withColumns({f"{p}x": vb[p].bitwiseXOR(F.lag(vb[p]).over(block_order())) for p in prefixes})
+    out = out.withColumns({f"{p}{c}": F.when(x[p] != 0, f(x[p])) for p in prefixes for c, f in (("l", leading), ("t", ctz64))})
+    return out.withColumns({f"{p}m": 64 - F.col(f"{p}l") - F.col(f"{p}t") for p in prefixes})
 
 
 def xor_fold(windows: Column, codec: str) -> Column:
@@ -64,9 +67,7 @@ def block_sizes(assigned: DataFrame, variables: Sequence[str] = ("value",), code
     Both codecs are folded over the same sorted arrays, so a comparison costs one shuffle.
     """
     names = check_variables(variables)
-    rows = with_deltas(assigned)
-    for j, v in enumerate(names):
-        rows = with_xor(rows, v, f"_{j}_")
+    rows = with_deltas(with_xor(assigned, names, [f"_{j}_" for j in range(len(names))]))
     cost = F.when(F.col("rn") == 1, 64 * (1 + len(names))).when(F.col("rn") == 2, 64).otherwise(dod_cost(F.col("dod")))
     arrays = [
         F.array_sort(

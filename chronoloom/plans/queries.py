@@ -93,12 +93,12 @@ def twos(spark, sf_dir):
 
 
 def value_xor(spark, sf_dir):
-    return with_xor(assigned_events(spark, sf_dir), "value").select("series_key", "seq", "vb", "x")
+    return with_xor(assigned_events(spark, sf_dir), ["value"]).select("series_key", "seq", "vb", "x")
 
 
 def xor_window(spark, sf_dir):
     x = F.col("x")
-    rows = with_xor(assigned_events(spark, sf_dir), "value").filter(x != 0)
+    rows = with_xor(assigned_events(spark, sf_dir), ["value"]).filter(x != 0)
     return rows.select(
         "series_key", "seq", *(e.cast("bigint").alias(n) for n, e in (("clz", clz64(x)), ("ctz", ctz64(x)), ("l", leading(x)), ("m", F.col("m"))))
     )
@@ -230,6 +230,25 @@ def framed_roundtrip(spark, sf_dir):
     return _decoded(query_framed(spark, folder, ["value"], 0, (1 << 63) - 1))
 
 
+def csv_roundtrip(spark, sf_dir):
+    """Points written as text and read back by the univariate loader; times are cut to seconds there."""
+    from chronoloom.sources.loaders import load_univariate_csv
+
+    folder = scratch(spark, "csv")
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("datetime"), F.col("value").cast("string"))
+    rows.write.option("header", True).csv(folder)
+    return load_univariate_csv(spark, folder, "events").select("series_key", "ts", double_bits(F.col("value")).alias("vb"))
+
+
+def raw_roundtrip(spark, sf_dir):
+    from chronoloom.sources.formats import read_raw, write_series_files
+
+    folder = scratch(spark, "raw")
+    write_series_files(_blocks(spark, sf_dir), folder, ["value"], framed=False, duration_ms=DAY).write.mode("overwrite").format("noop").save()
+    return read_raw(spark, folder).select("series_key", "block_start", "n", F.col("size_bytes").alias("bytes"))
+
+
 def store_roundtrip(spark, sf_dir):
     """create, two inserts around a flush, then a range query over sealed and open blocks of one series."""
     from chronoloom.plans.store import SeriesStore
@@ -294,6 +313,8 @@ QUERIES = {
     "list_series": list_series,
     "series_counts": series_counts,
     "framed_roundtrip": framed_roundtrip,
+    "csv_roundtrip": csv_roundtrip,
+    "raw_roundtrip": raw_roundtrip,
     "store_roundtrip": store_roundtrip,
     "stream_ingest": stream_ingest,
 }
@@ -427,6 +448,8 @@ ORACLE_SQL = {
     "list_series": f"with {_P} select series_key, min(seq) as created_seq from p group by 1",
     "series_counts": f"with {_P} select series_key, count(*) as total_points from p group by 1",
     "framed_roundtrip": f"with {_P} select {_VB} from p",
+    "csv_roundtrip": "select 'events' as series_key, epoch_us(date_trunc('second', ts)) // 1000 as ts, " + _bits("value") + " as vb from events",
+    "raw_roundtrip": f"with {_SIZES} select series_key, block_start, n, standard_bytes as bytes from z",
     "store_roundtrip": f"with {_P} select {_VB} from p where {_IN} and series_key = 'click'",
     "stream_ingest": f"with {_SIZES} {_NOT_LAST}",
 }

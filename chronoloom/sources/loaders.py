@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ def _lines(spark: SparkSession, path: str, width: int, header: bool) -> DataFram
 
 def _finish(df: DataFrame, key: str, variables: Sequence[str]) -> DataFrame:
     """seq follows the file's order; it is only an order within one file, which Spark's CSV scan numbers front to back."""
-    rows = df.withColumn("seq", F.monotonically_increasing_id()).dropna(subset=["ts", *variables])
+    good = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("ts", *variables)])  # dropna would take NaN as missing
+    rows = df.withColumn("seq", F.monotonically_increasing_id()).filter(good)
     return rows.select(F.lit(key).alias("series_key"), "seq", "ts", *variables)
 
 
