@@ -67,10 +67,11 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: The transformed statistics, in SQL that Spark and DuckDB share: length, mean word, symbols, repeated lines, capitals.
+#: Empty texts, which the base rules reject anyway, must not divide by zero.
 VECTOR = (
-    "ln(n_words * 1.0D)",
-    "ln(word_chars * 1.0D / n_words)",
-    "ln(1 + 100.0D * n_symbols / n_words)",
+    "ln(greatest(n_words, 1) * 1.0D)",
+    "ln(greatest(word_chars, 1) * 1.0D / greatest(n_words, 1))",
+    "ln(1 + 100.0D * n_symbols / greatest(n_words, 1))",
     "ln(1 + 100.0D * n_dup_lines / greatest(n_lines, 1))",
     "ln(1 + 100.0D * n_upper / greatest(word_chars, 1))",
 )
