@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialize, table, text_of, words_of
+from chronoloom.llm.common import materialize, sized_broadcast, table, text_of, words_of
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 #: Documents a (language, source) group needs for estimates of its own; smaller ones use their language's.
@@ -29,6 +29,8 @@ CONSISTENCY = 1.0 / 0.4378
 #: Bins per unit of the log distance, and per unit of a statistic for the starting medians.
 BINS, MEDIAN_BINS = 40, 50
 P = 5
+#: Group estimates (about 250 bytes each) that are broadcast; more are joined by shuffle.
+BROADCAST_GROUPS, SALTS = 50_000, 64
 GROUP = ("lang", "source")
 
 
@@ -95,7 +97,12 @@ START = [f"1 / {FLOORS[i]!r} as v{i}{j}" if i == j else f"0.0D as v{i}{j}" for i
 
 
 def _cut(histogram: DataFrame, keys: list[str]) -> DataFrame:
-    """The first bin by which half of a group's rows are reached; the bins of a group are few."""
+    """The first bin by which half of a group's rows are reached; the bins of a group are few.
+
+    The counts are written first: else Spark would deal every task's partial
+    counts by group for the window, and a large group's would meet in one task.
+    """
+    histogram = materialize(histogram, "histogram")
     w = Window.partitionBy(*keys)
     run = histogram.withColumns({"_c": F.sum("n").over(w.orderBy("bin")), "_n": F.sum("n").over(w)})
     return run.filter(2 * F.col("_c") >= F.col("_n")).groupBy(*keys).agg(F.min("bin").alias("cut"))
@@ -111,12 +118,17 @@ def estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     centre = _cut(histogram, ["g", "i"]).groupBy("g")
     middle = [F.max(F.when(F.col("i") == i, (F.col("cut") + 0.5) / MEDIAN_BINS)).alias(f"c{i}") for i in range(P)]
     found = materialize(centre.agg(*middle).selectExpr("g", *(f"c{i}" for i in range(P)), *START), "mcd")
+    # where the estimates are too many to broadcast, the join deals rows by g; the salt then brings a shuffle of
+    # partial sums behind it, so that a large group's rows are split and never summed in one task
+    salted = vectors.withColumn("salt", F.pmod(F.xxhash64(*X), F.lit(SALTS)))
+    sums = [m.split(" as ")[1] for m in MOMENTS]
     for _ in range(steps):
-        placed = vectors.join(found, "g").selectExpr("g", *X, f"{BIN} as bin")
-        cut = _cut(placed.groupBy("g", "bin").agg(F.count("*").alias("n")), ["g"])
-        cut = materialize(found.join(cut, "g"), "mcd")
-        inner = vectors.join(cut, "g").filter(F.expr(f"{BIN} <= cut"))
-        moments = inner.groupBy("g").agg(*(F.expr(m) for m in MOMENTS))
+        placed = salted.join(sized_broadcast(found, BROADCAST_GROUPS), "g").selectExpr("g", "salt", f"{BIN} as bin")
+        counted = placed.groupBy("g", "bin", "salt").agg(F.count("*").alias("n")).groupBy("g", "bin").agg(F.sum("n").alias("n"))
+        cut = materialize(found.join(_cut(counted, ["g"]), "g"), "mcd")
+        inner = salted.join(sized_broadcast(cut, BROADCAST_GROUPS), "g").filter(F.expr(f"{BIN} <= cut"))
+        partial = inner.groupBy("g", "salt").agg(*(F.expr(m) for m in MOMENTS))
+        moments = partial.groupBy("g").agg(*(F.sum(c).alias(c) for c in sums))
         found = materialize(moments.selectExpr("g", *SOLVE).select("g", *PARAMETERS), "mcd")
     return found
 
