@@ -2,10 +2,10 @@
 
 A rolling hash over the hashes of the last WINDOW lines ends a chunk wherever
 it falls on a fixed residue, so chunk boundaries follow content and an inserted
-line shifts only the chunk it lies in. A chunk of at least two lines with words
-that occurs more than once anywhere is kept at its first place (smallest id,
-then smallest line) and removed elsewhere, after its bytes were compared with
-the first copy's.
+line shifts only the chunk it lies in; no boundary leaves a last line alone. A
+chunk of at least two lines with words that occurs more than once anywhere is
+kept at its first place (smallest id, then smallest line) and removed
+elsewhere, after its bytes were compared with the first copy's.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm.common import materialize, table
 
-WINDOW, RESIDUE, MIN_LINES, MAX_LINES = 2, 4, 2, 64
+WINDOW, RESIDUE, MIN_LINES, MAX_LINES = 2, 2, 2, 64
 MASK, FACTOR = (1 << 64) - 1, 0x9E3779B97F4A7C15
 
 
@@ -33,7 +33,7 @@ def chunk_lines(lines: list[bytes]) -> list[tuple[int, int]]:
     hashes = list(map(digest, lines))
     for i in range(len(lines)):
         size = i + 1 - start
-        if size < MIN_LINES:
+        if size < MIN_LINES or i + 2 == len(lines):
             continue
         roll = 0
         for h in hashes[max(start, i + 1 - WINDOW) : i + 1]:

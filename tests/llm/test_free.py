@@ -72,6 +72,12 @@ def test_chunks_resist_shifts():
     assert len(cut(lines) - cut([b"new"] + lines)) <= 3
 
 
+def test_no_last_line_stands_alone():
+    for n in range(2, 60):
+        found = chunk_lines([f"{n} {i}".encode() for i in range(n)])
+        assert min(size for _, size in found) >= 2 and sum(size for _, size in found) == n
+
+
 def check_packing(rows, texts, length=2048):
     encode = encoder(default_tokenizer())
     by_doc, by_seq = defaultdict(list), defaultdict(list)
