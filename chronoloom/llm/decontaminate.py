@@ -67,7 +67,7 @@ def slots(cut: DataFrame, *keep: str) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, item, covered, item_words, first_word, last_word, n_slots) for every document and item whose template it holds.
+    """(id, item, covered, item_words, first_word, last_word, n_slots, text_hash) for every document and item whose template it holds.
 
     An item with fewer canonical words than WINDOW never matches. Null and
     empty texts match nothing; rows that share an id and a text count once, and
@@ -115,7 +115,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     covered = F.expr(f"aggregate(ps, named_struct('n', {WINDOW}, 'last', ps[0]), (a, x) -> named_struct('n', a.n + least({WINDOW}, x - a.last), 'last', x), a -> a.n)")
     kept = whole.withColumn("covered", covered).filter(F.col("covered") >= F.least(F.lit(MIN_COVERED), F.col("item_words")))
     return kept.select(
-        F.col("_id").alias(id_col), F.col("_item").alias(item_col), *(F.col(c).cast("bigint").alias(n) for c, n in (("covered", "covered"), ("item_words", "item_words"), ("a", "first_word"), ("z", "last_word"))), "n_slots"
+        F.col("_id").alias(id_col), F.col("_item").alias(item_col), *(F.col(c).cast("bigint").alias(n) for c, n in (("covered", "covered"), ("item_words", "item_words"), ("a", "first_word"), ("z", "last_word"))), "n_slots", F.col("_th").alias("text_hash")
     )
 
 

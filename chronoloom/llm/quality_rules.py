@@ -135,7 +135,7 @@ def estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: tuple[str, str] = GROUP, min_group: int = MIN_GROUP, cutoff: float = CUTOFF) -> DataFrame:
-    """One row per row of docs: the base statistics, base_failed, distance and kept.
+    """One row per row of docs: the base statistics, base_failed, kept, distance and text_hash, which with the id names the document.
 
     Estimates use the documents that pass the base rules. A (language, source)
     group with fewer than min_group of them is pooled with the other small
@@ -145,8 +145,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty table gives an empty result. Other columns of docs are not read.
     """
     lang, source = group
-    renamed = docs.select(F.col(id_col).alias("_id"), F.col(lang).cast("string").alias("_lang"), F.col(source).cast("string").alias("_source"), F.col(text_col).alias("_text"))
-    stats = materialize(base_statistics(renamed, "_id", "_text", ("_lang", "_source")), "statistics")
+    own_columns = (F.col(lang).cast("string").alias("_lang"), F.col(source).cast("string").alias("_source"), F.xxhash64(text_of(docs, text_col)).alias("_th"))
+    renamed = docs.select(F.col(id_col).alias("_id"), *own_columns, F.col(text_col).alias("_text"))
+    stats = materialize(base_statistics(renamed, "_id", "_text", ("_lang", "_source", "_th")), "statistics")
     mark = F.concat(F.coalesce(F.concat(F.lit("="), "_lang"), F.lit("-")), F.lit("\x01"))
     own = F.concat(mark, F.coalesce(F.concat(F.lit("="), "_source"), F.lit("-")))
     good = stats.filter(~F.col("base_failed")).withColumns({"_own": own, "_pool": mark})
@@ -161,12 +162,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scored = scored.withColumn("distance", F.when(~F.col("base_failed"), F.expr(DISTANCE)))
     return scored.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"), "n_lines", "n_upper", "distance",
+        (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"), "n_lines", "n_upper", "distance", F.col("_th").alias("text_hash"),
     )
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents")).drop("distance")
+    return quality_rules(table(spark, sf_dir, "documents")).drop("distance", "text_hash")
 
 
 def _oracle() -> str:

@@ -186,6 +186,15 @@ def test_pipeline_stages(spark):
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()).keys() == {r.doc_id for r in kept.collect()}
 
 
+def test_pipeline_drops_by_id_and_text(spark):
+    long, leak = " ".join(f"w{i}" for i in range(60)), spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
+    rows = [(1, "short"), (1, long), (None, "short"), (None, long), (2, None), (3, leak), (3, long)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' as lang", "'a' as source", "1L as n_chars")
+    keep = {(1, long), (None, long), (3, long)}
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.quality(spark, docs, DATA).collect()} == keep
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, docs, DATA).collect()} == set(rows) - {(3, leak)}
+
+
 def test_pipeline_edges(spark):
     from pyspark.sql import functions as F
 
