@@ -48,7 +48,7 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, is_
     """One WARC record; a revisit carries the response's HTTP header but not its body."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if is_revisit else http + payload
-    urn = lambda x: "<urn:page:" + header_value(json.dumps(x)) + ">"
+    urn = lambda x: "<urn:page:" + header_value(json.dumps(x).replace("%", "\\u0025")) + ">"
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if is_revisit else 'response'}",

@@ -83,6 +83,14 @@ def test_warc_edges(spark):
     assert empty.parts == [] and lookup(spark, empty, wanted).count() == 0
 
 
+def test_warc_ids_of_any_text(spark):
+    ids = ["a%41b", "50% \"off\"", "ü > é\n", "", "%"]
+    body = "y" * 1500
+    df = spark.createDataFrame([(i, "http://a.b/", body) for i in ids], "page_id string, url string, html string")
+    got = {r.id: r.refers_to for r in lookup(spark, write_archive(df), df.select(url_key(df.url).alias("key"), df.page_id.alias("id"))).collect()}
+    assert got == {i: None if i == max(ids) else max(ids) for i in ids}
+
+
 def test_warc_lookup_over_many_blocks(spark, monkeypatch):
     from chronoloom.llm import warc
 
