@@ -3,8 +3,9 @@
 Numbers, units after numbers, and names become typed placeholders, so that a
 question with other numbers or names still shares its template with the
 benchmark item. Windows of canonical words are hash-joined, hits are gathered
-by item and offset, and an offset counts only when its slots are consistent:
-each value of the item always stands for the same value of the document. A
+by item and offset, and a window counts only when its slots are consistent:
+each value of the item always stands for the same value of the document (on
+request over the whole offset instead). A
 document is contaminated by an item when consistent windows cover MIN_COVERED
 of its words, or the whole item where it is shorter.
 """
@@ -66,13 +67,15 @@ def slots(cut: DataFrame, *keep: str) -> DataFrame:
     return out.filter("pos is not null and value is not null")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", by_window: bool = False) -> DataFrame:
     """(id, item, covered, item_words, first_word, last_word, n_slots, text_hash) for every document and item whose template it holds.
 
     An item with fewer canonical words than WINDOW never matches. Null and
     empty texts match nothing; rows that share an id and a text count once, and
     a null id is an id of its own. Items with equal text each give a row. Other
-    columns are not read; an empty side gives an empty result.
+    columns are not read; an empty side gives an empty result. by_window judges
+    slots window by window, so that a slot altered on its own costs no more than
+    the windows that hold both; else it costs every window of its offset.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("_item"), text_of(benchmark, item_text_col).alias("_it"))
@@ -102,12 +105,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     inside = F.expr(f"exists(ps, p -> ipos >= p and ipos < p + {WINDOW})")
     placed = offsets.join(item_slots, "_item").filter(inside).select(*keys, "offset", "ikind", "ivalue", (F.col("ipos") + F.col("offset")).alias("at"))
     same = F.col("x._id").eqNullSafe(F.col("s._id")) & (F.col("x._th") == F.col("s._th")) & (F.col("x.at") == F.col("s.pos")) & (F.col("x.ikind") == F.col("s.kind"))
-    filled = placed.alias("x").join(doc_slots.alias("s"), same).select(*(f"x.{k}" for k in (*keys, "offset", "ikind", "ivalue")), "s.value")
-    mapped = filled.groupBy(*keys, "offset", "ikind", "ivalue").agg(F.count("*").alias("n"), (F.min("value") == F.max("value")).alias("one"))
-    checked = mapped.groupBy(*keys, "offset").agg(F.sum("n").alias("n"), F.min("one").alias("ok"))
-    checked = checked.select(F.col("_id").alias("c_id"), F.col("_th").alias("c_th"), F.col("_item").alias("c_item"), F.col("offset").alias("c_offset"), "n", "ok")
+    filled = placed.alias("x").join(doc_slots.alias("s"), same).select(*(f"x.{k}" for k in (*keys, "offset", "ikind", "ivalue")), (F.col("x.at") - F.col("x.offset")).alias("ipos"), "s.value")
+    gathered = filled.groupBy(*keys, "offset").agg(F.array_sort(F.collect_list(F.struct("ipos", "ikind", "ivalue", "value"))).alias("found"))
+    # ends of every two slots that give one value of the item two values; they matter to windows that hold both
+    near = f" and t.ipos - s.ipos < {WINDOW}" if by_window else ""
+    clash = f"flatten(transform(found, s -> transform(filter(found, t -> t.ipos > s.ipos{near} and t.ikind = s.ikind and t.ivalue = s.ivalue and t.value <> s.value), t -> named_struct('a', s.ipos, 'z', t.ipos))))"
+    checked = gathered.withColumn("clashes", F.expr(clash))
+    checked = checked.select(F.col("_id").alias("c_id"), F.col("_th").alias("c_th"), F.col("_item").alias("c_item"), F.col("offset").alias("c_offset"), "found", "clashes")
     on = F.col("_id").eqNullSafe(F.col("c_id")) & (F.col("_th") == F.col("c_th")) & F.col("_item").eqNullSafe(F.col("c_item")) & (F.col("offset") == F.col("c_offset"))
-    sound = offsets.join(checked, on, "left").filter(F.coalesce("ok", F.lit(True)))
+    sound_windows = f"filter(ps, p -> clashes is null or not exists(clashes, c -> c.a >= p and c.z < p + {WINDOW}))" if by_window else "case when coalesce(size(clashes), 0) > 0 then slice(ps, 1, 0) else ps end"
+    sound = offsets.join(checked, on, "left").withColumn("ps", F.expr(sound_windows)).filter(F.size("ps") > 0)
+    sound = sound.withColumn("n", F.expr(f"case when found is null then 0 else size(filter(found, s -> exists(ps, p -> s.ipos >= p and s.ipos < p + {WINDOW}))) end"))
     whole = sound.groupBy(*keys).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("ps"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_slots"),
         F.min(F.array_min("ps") + F.col("offset")).alias("a"), F.max(F.array_max("ps") + F.col("offset") + WINDOW - 1).alias("z"),
@@ -120,4 +128,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), by_window=True)
