@@ -36,8 +36,8 @@ class Encoder:
     """Ids of a byte-level BPE file, equal to the tokenizers library's.
 
     The file's vocabulary is run by tiktoken, which gives the same ids several
-    times faster; text with characters outside the common Latin blocks goes to
-    the tokenizers library itself.
+    times faster; text with characters outside the common Latin blocks, and text
+    that spells an added token, goes to the tokenizers library itself.
     """
 
     def __init__(self, path: str):
@@ -46,17 +46,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, self.added = file["model"], [t["content"] for t in file.get("added_tokens") or ()]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from U+0100 on
         alphabet = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
-        special = {t for t in model["vocab"] if t.startswith("<|") and t.endswith("|>")}
+        special = {*self.added, *(t for t in model["vocab"] if t.startswith("<|") and t.endswith("|>"))}
         ranks = {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
         self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
 
     def __call__(self, text: str) -> list[int]:
-        if not text.isascii() and RARE.search(text):
+        if not text.isascii() and RARE.search(text) or any(t in text for t in self.added):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

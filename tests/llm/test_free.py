@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 import corpus_pipeline
 from chronoloom.llm.html_text import extract, html_to_text
 from chronoloom.llm.line_dedup import chunk_lines, line_dedup
-from chronoloom.llm.packing import END_ID, default_tokenizer, encoder, first_fit_decreasing, op6_packing, pack
+from chronoloom.llm.packing import END_ID, default_tokenizer, first_fit_decreasing, op6_packing, pack
 
 DATA = "/root/testdata/sf0.001"
 
@@ -79,13 +79,15 @@ def test_no_last_line_stands_alone():
 
 
 def check_packing(rows, texts, length=2048):
-    encode = encoder(default_tokenizer())
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(default_tokenizer())
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
         by_seq[r.sequence_id].append(r)
     for i, text in texts.items():
-        exact = [*encode.exact.encode(text or "", add_special_tokens=False).ids, END_ID]
+        exact = [*fresh.encode(text or "", add_special_tokens=False).ids, END_ID]
         at = 0
         for r in sorted(by_doc[i], key=lambda r: r.start):
             part = np.array(exact[r.start : r.start + r.length], "<u4")
@@ -107,7 +109,7 @@ def test_packing_round_trip(spark):
 
 
 def test_packing_edges(spark):
-    texts = {1: None, 2: "", 3: "long words " * 9000, 4: "<|endoftext|> мир 你好 \U0001f600 ǅ", 5: "a" * 5000, 6: "  \n\n\t x"}
+    texts = {1: None, 2: "", 3: "long words " * 9000, 4: "<|endoftext|> мир 你好 \U0001f600 ǅ", 5: "a" * 5000, 6: "  \n\n\t x", 7: "a <|endoftext|> b", 8: "<|endoftext|>", 9: "<|endoftext |> <|"}
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").selectExpr("*", "1 as length", "2 as salt")
     check_packing(pack(df, group_pieces=2).collect(), texts)
     twice = spark.createDataFrame([(None, "a b"), (None, "a b"), (7, "x"), (7, "x")], "doc_id bigint, text string")
