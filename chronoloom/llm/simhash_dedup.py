@@ -124,7 +124,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(distinct.select("fp")))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialize(rooted, "rooted")
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written first, so that the join reads two tables and a very large component can be split
+    firsts = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "firsts")
     named = materialize(rooted.select("fp", "root").join(firsts, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
