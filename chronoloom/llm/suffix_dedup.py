@@ -268,6 +268,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.struct("id", "th", "place", "meta")
     classes = materialize(found.groupBy("akey", "digest").agg(F.count("*").alias("n"), F.min(place).alias("rep")), "classes")
     groups = classes.groupBy("akey").agg(F.count("*").alias("classes"), F.min("n").alias("least")).filter("classes > 1" if keep_first else "classes > 1 and least = 1")
+    # written first, so that the next join reads two tables and a crowded anchor can be split
+    groups = materialize(groups, "groups")
     compared = materialize(classes.join(groups.drop("least"), "akey").select("akey", "digest", "rep.*", "classes"), "compared")
 
     wanted = compared.groupBy("id", "th").agg(F.collect_list(F.struct("akey", "digest", "place", "meta", "classes")).alias("_s"))
@@ -351,4 +353,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op10_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
+    return substring_dedup(table(spark, sf_dir, "documents"))
