@@ -4,10 +4,11 @@ Numbers, units after numbers, and names become typed placeholders, so that a
 question with other numbers or names still shares its template with the
 benchmark item. Windows of canonical words are hash-joined, hits are gathered
 by item and offset, and a window counts only when its slots are consistent:
-each value of the item always stands for the same value of the document (on
-request over the whole offset instead). A
-document is contaminated by an item when consistent windows cover MIN_COVERED
-of its words, or the whole item where it is shorter.
+each value of the item always stands for the same value of the document. With
+by_window, windows of the words as they are written are joined beside them,
+from the same scan: those hold the item's own values, whatever their slots. A
+document is contaminated by an item when consistent windows, or windows as
+written, cover MIN_COVERED of its words, or the whole item where it is shorter.
 """
 
 from __future__ import annotations
@@ -18,14 +19,21 @@ from pyspark.sql import functions as F
 from chronoloom.llm.common import materialize, table, text_of, words_of
 
 WINDOW, MIN_COVERED = 8, 13
-#: Plain words that a window needs besides placeholders.
+#: Plain words that a window of canonical words needs besides placeholders; with fewer, only the words as written count.
 MIN_PLAIN = 5
 #: Item windows that are broadcast at once: about 40 MB; more are handled in as many passes as it takes.
 BROADCAST_WINDOWS = 1_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NUMBER = r"\d+(?:[.,]\d+)*"
-#: A capitalised word inside a sentence: after a lower-case letter or a comma and one blank.
-NAME = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+"
+#: Words that open sentences and are no names.
+OPENERS = (
+    "A An The This That These Those There Here It Its He She They We You I His Her Their Our Your My If When While Where Which Who Whom Whose What Why How "
+    "In On At By For From To Of With Without After Before During Since Until As And But Or Nor So Yet Then Now Not No Yes All Any Each Every Some Many Most Much Few Several "
+    "One Two Three Is Are Was Were Do Does Did Has Have Had Can Could May Might Must Shall Should Will Would Let Given Find Suppose Assume Calculate Compute Determine Choose Consider"
+).split()
+_PLAIN = rf"(?!(?:{'|'.join(OPENERS)})(?![\p{{L}}\p{{N}}]))"
+#: A run of capitalised words that open no sentence by themselves.
+NAME = rf"(?<![\p{{L}}\p{{N}}]){_PLAIN}\p{{Lu}}\p{{Ll}}+(?: {_PLAIN}\p{{Lu}}\p{{Ll}}+){{0,4}}(?![\p{{L}}\p{{N}}])"
 #: Units of measure and currency, as whole words after a number.
 UNITS = (
     "mm cm dm m km in ft yd mi mg g kg t lb oz ml cl l s sec min h hr hrs ms day days week weeks month months year years second seconds minute minutes hour hours "
@@ -45,8 +53,9 @@ def canonical(df: DataFrame, text, *keep: str) -> DataFrame:
     return three.select(*keep, "_t0", "_t1", "_t2", words_of(F.lower("_t3"), SEPARATORS).alias("_w"))
 
 
-def window_hashes(words: str) -> str:
-    cols = ", ".join(f"{words}[i + {j}]" for j in range(WINDOW))
+def window_hashes(words: str, written: bool = False) -> str:
+    """Hashes of all windows of a word array, of another family for words as written."""
+    cols = ", ".join(f"{words}[i + {j}]" for j in range(WINDOW)) + ", 1" * written
     return f"case when size({words}) >= {WINDOW} then transform(sequence(0, size({words}) - {WINDOW}), i -> xxhash64({cols})) else cast(array() as array<bigint>) end"
 
 
@@ -70,32 +79,45 @@ def slots(cut: DataFrame, *keep: str) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", by_window: bool = False) -> DataFrame:
     """(id, item, covered, item_words, first_word, last_word, n_slots, text_hash) for every document and item whose template it holds.
 
-    An item with fewer canonical words than WINDOW never matches. Null and
-    empty texts match nothing; rows that share an id and a text count once, and
-    a null id is an id of its own. Items with equal text each give a row. Other
-    columns are not read; an empty side gives an empty result. by_window judges
-    slots window by window, so that a slot altered on its own costs no more than
-    the windows that hold both; else it costs every window of its offset.
+    An item with fewer words than WINDOW never matches. Null and empty texts
+    match nothing; rows that share an id and a text count once, and a null id is
+    an id of its own. Items with equal text each give a row. Other columns are
+    not read; an empty side gives an empty result. by_window judges slots window
+    by window, so that a slot altered on its own costs no more than the windows
+    that hold both, and counts windows as written; else it costs every window of
+    its offset. covered, item_words, first_word and last_word count canonical
+    words, or words as written where those cover more.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("_item"), text_of(benchmark, item_text_col).alias("_it"))
     item_cut = materialize(canonical(items, F.col("_it"), "_item"), "items")
     exploded = item_cut.select("_item", F.size("_w").alias("item_words"), "_w", F.posexplode(F.expr(window_hashes("_w"))).alias("ipos", "h"))
     plain = F.size(F.filter(F.slice("_w", F.col("ipos") + 1, WINDOW), lambda x: ~x.isin(NUM, UNIT, NAME_SLOT)))
-    item_windows = materialize(exploded.filter(plain >= MIN_PLAIN).select("_item", "item_words", "ipos", "h"), "windows")
+    item_windows = exploded.filter(plain >= MIN_PLAIN).select("_item", "item_words", "ipos", "h", F.lit(False).alias("written"))
+    if by_window:
+        raw = item_cut.select("_item", words_of(F.lower("_t0"), SEPARATORS).alias("_r"))
+        raw = raw.select("_item", F.size("_r").alias("item_words"), F.posexplode(F.expr(window_hashes("_r", True))).alias("ipos", "h"))
+        item_windows = item_windows.unionByName(raw.withColumn("written", F.lit(True)))
+    item_windows = materialize(item_windows, "windows")
     passes = max(1, -(-item_windows.count() // BROADCAST_WINDOWS))
 
     source = docs.select(F.col(id_col).alias("_id"), text_of(docs, text_col).alias("_dt"))
-    cut = canonical(source.withColumn("_th", F.xxhash64("_dt")), F.col("_dt"), "_id", "_th")
-    windows = cut.select("_id", "_th", F.posexplode(F.expr(window_hashes("_w"))).alias("pos", "h"))
+    cut = canonical(source.withColumn("_th", F.xxhash64("_dt")), F.col("_dt"), "_id", "_th").withColumn("_hc", F.expr(window_hashes("_w")))
+    every = F.col("_hc")
+    if by_window:
+        cut = cut.withColumn("_r", words_of(F.lower("_t0"), SEPARATORS))
+        every = F.concat("_hc", F.expr(window_hashes("_r", True)))
+    windows = cut.select("_id", "_th", F.size("_hc").alias("_n"), F.posexplode(every).alias("pos", "h"))
     hits = None
     for p in range(passes):
-        known = item_windows if passes == 1 else item_windows.filter(F.pmod(F.xxhash64("h"), F.lit(passes)) == p)
-        found = windows.join(F.broadcast(known), "h").select("_id", "_th", "_item", "item_words", "ipos", "pos")
+        known = item_windows if passes == 1 else item_windows.filter(F.pmod(F.xxhash64("_item", "ipos", "h"), F.lit(passes)) == p)
+        found = windows.join(F.broadcast(known), "h").select("_id", "_th", "_item", "item_words", "written", "ipos", F.when(F.col("written"), F.col("pos") - F.col("_n")).otherwise(F.col("pos")).alias("pos"))
+        # with several passes each is written before the next, so that one broadcast lives at a time
+        found = materialize(found, "pass") if passes > 1 else found
         hits = found if hits is None else hits.unionByName(found)
     keys = ["_id", "_th", "_item", "item_words"]
-    grouped = hits.groupBy(*keys, (F.col("pos") - F.col("ipos")).alias("offset")).agg(F.collect_set("ipos").alias("ps"))
-    offsets = materialize(grouped.withColumn("ps", F.array_sort("ps")), "offsets")
+    grouped = hits.groupBy(*keys, "written", (F.col("pos") - F.col("ipos")).alias("offset")).agg(F.collect_set("ipos").alias("ps"))
+    both = materialize(grouped.withColumn("ps", F.array_sort("ps")), "offsets")
+    offsets = both.filter("not written").drop("written")
 
     hit_docs = offsets.select(F.col("_id").alias("_hid"), F.col("_th").alias("_hth")).distinct()
     match = F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_th") == F.col("_hth"))
@@ -116,14 +138,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sound_windows = f"filter(ps, p -> clashes is null or not exists(clashes, c -> c.a >= p and c.z < p + {WINDOW}))" if by_window else "case when coalesce(size(clashes), 0) > 0 then slice(ps, 1, 0) else ps end"
     sound = offsets.join(checked, on, "left").withColumn("ps", F.expr(sound_windows)).filter(F.size("ps") > 0)
     sound = sound.withColumn("n", F.expr(f"case when found is null then 0 else size(filter(found, s -> exists(ps, p -> s.ipos >= p and s.ipos < p + {WINDOW}))) end"))
-    whole = sound.groupBy(*keys).agg(
+    verbatim = both.filter("written").withColumn("n", F.lit(0))
+    every = sound.select(*keys, "offset", "ps", "n", F.lit(False).alias("written")).unionByName(verbatim.select(*keys, "offset", "ps", "n", "written"))
+    whole = every.groupBy(*keys, "written").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("ps"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_slots"),
         F.min(F.array_min("ps") + F.col("offset")).alias("a"), F.max(F.array_max("ps") + F.col("offset") + WINDOW - 1).alias("z"),
     )
     covered = F.expr(f"aggregate(ps, named_struct('n', {WINDOW}, 'last', ps[0]), (a, x) -> named_struct('n', a.n + least({WINDOW}, x - a.last), 'last', x), a -> a.n)")
     kept = whole.withColumn("covered", covered).filter(F.col("covered") >= F.least(F.lit(MIN_COVERED), F.col("item_words")))
-    return kept.select(
-        F.col("_id").alias(id_col), F.col("_item").alias(item_col), *(F.col(c).cast("bigint").alias(n) for c, n in (("covered", "covered"), ("item_words", "item_words"), ("a", "first_word"), ("z", "last_word"))), "n_slots", F.col("_th").alias("text_hash")
+    best = kept.groupBy("_id", "_th", "_item").agg(F.max(F.struct("covered", ~F.col("written"), "item_words", "a", "z")).alias("b"), F.max("n_slots").alias("n_slots"))
+    return best.select(
+        F.col("_id").alias(id_col), F.col("_item").alias(item_col), *(F.col(f"b.{c}").cast("bigint").alias(n) for c, n in (("covered", "covered"), ("item_words", "item_words"), ("a", "first_word"), ("z", "last_word"))), "n_slots", F.col("_th").alias("text_hash")
     )
 
 
