@@ -1,12 +1,18 @@
 """URL filters: host rules first, then a path-template tree per host.
 
-Each host's paths form a tree of segments. Segments vary by type (digit runs
-become <n>) or by number (a child among many that each hold a small share
-becomes *). Sibling branches whose labelled shares don't differ significantly
-are pooled (~). A template is rejected when its smoothed share of blocked
-labels reaches THRESHOLD; labels are the verdicts of the rules. Every level is
-counted with partial aggregates and joined back, so no host is gathered in one
-task, however many pages it has.
+Each host's paths form a tree of segments, to their full depth. Segments vary
+by type (digit runs become <n>) or by number (a child among many that each hold
+a small share becomes *). Sibling branches with the same most frequent segment
+below them are merged (~ and that segment) where their pages are spread alike
+over all segments below (chi-square of homogeneity against those siblings) and
+their blocked shares don't differ significantly; a branch with few or no labels
+can't differ in them, so it takes over the evidence of siblings of its structure. A template is rejected when its smoothed share of blocked labels
+reaches THRESHOLD; labels are the verdicts of the rules.
+
+Every level is counted with partial aggregates, which are written before they
+are joined back, so that Spark can split a host with very many pages. A path that
+is alone below its node is finished at once: the number of levels that are run
+is that of the deepest branching, not of the longest path.
 """
 
 from __future__ import annotations
@@ -19,15 +25,14 @@ from chronoloom.llm.common import materialize, table
 #: Fixed values of the contract: verdict, host, path; a rule fits its host and all subdomains.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LEVELS = 3
 #: A segment is a wildcard where its parent has at least so many children and it holds less than one in SHARE of the parent's pages.
 CHILDREN, SHARE = 20, 20
-#: Labels a branch needs to be pooled, and the chi-square bound (95 %, one degree of freedom) of similar shares.
+#: Labels from which a branch's share can differ from its siblings', and a template be rejected; the chi-square bound (95 %, one degree) of similar shares.
 MIN_LABELS, SIMILAR = 5, 3.84
+#: Standard deviations above its mean (the degrees of freedom) to which the chi-square of similar structures may reach.
+SPREAD = 4.0
 #: Pseudo-labels at the overall blocked share, and the share from which a template is rejected.
 SMOOTHING, THRESHOLD = 4.0, 0.8
-G, M = [f"g{i}" for i in range(1, LEVELS + 1)], [f"m{i}" for i in range(1, LEVELS + 1)]
-S = [f"s{i}" for i in range(1, LEVELS + 1)]
 
 
 def split_url(df: DataFrame, url_col: str = "url") -> DataFrame:
@@ -52,58 +57,106 @@ def with_rule(df: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumns({"rule": rule, "label": label})
 
 
-def with_segments(df: DataFrame) -> DataFrame:
-    """Add s1..s3: path segments with digit runs as <n>; the last holds all that is left, null stands for the path's end."""
-    parts = F.split(F.regexp_replace(F.regexp_replace("path", "^/", ""), r"\d+", "<n>"), "/", LEVELS)
-    return df.withColumn("_s", parts).withColumns({s: F.when(F.col("path") != "", F.get("_s", F.lit(i))) for i, s in enumerate(S)}).drop("_s")
-
-
-def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join in which null keys are equal."""
-    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return left.join(named, on).drop(*(f"_r_{k}" for k in keys))
+def typed_path(path):
+    """The path with digit runs as <n>; its segments stand between slashes, and the empty path has none."""
+    return F.regexp_replace(path, r"\d+", "<n>")
+
+
+def head(segments: str):
+    """=segment for the first of the segments that are left, - where none is."""
+    return F.when(F.size(segments) > 0, F.concat(F.lit("="), F.get(segments, F.lit(0)))).otherwise(F.lit("-"))
+
+
+def tail(segments: str):
+    return F.expr(f"slice({segments}, 2, greatest(size({segments}) - 1, 0))")
+
+
+def alone(tree: DataFrame, node: str, left: str) -> tuple[DataFrame, DataFrame]:
+    """Paths that have company below their node, and the others with all that is left of them moved to the node."""
+    counts = materialize(tree.groupBy("host", node).agg(F.countDistinct(left).alias("_tails")), "tails")
+    both = materialize(tree.join(counts, ["host", node]), "alone")
+    rest = F.when(F.size(left) > 0, F.concat(F.lit("/"), F.array_join(left, "/"))).otherwise(F.lit(""))
+    gone = both.filter("_tails = 1").withColumn(node, F.concat(node, rest))
+    return both.filter("_tails > 1").drop("_tails"), gone.drop("_tails", left)
+
+
+def generalised(paths: DataFrame) -> DataFrame:
+    """paths(host, typed, n, lab, blk) with g: the path with variable segments as *."""
+    segments = F.when(F.col("typed") == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace("typed", "^/", ""), "/", -1))
+    tree, done = paths.withColumns({"rest": segments, "g": F.lit("")}), None
+    while True:
+        tree, gone = alone(tree, "g", "rest")
+        done = gone if done is None else done.unionByName(gone)
+        tree = materialize(tree.withColumn("kid", head("rest")), "level")
+        if tree.isEmpty():
+            return done
+        kids = materialize(tree.groupBy("host", "g", "kid").agg(F.sum("n").alias("_n")), "kids")
+        nodes = materialize(kids.groupBy("host", "g").agg(F.count("*").alias("_kids"), F.sum("_n").alias("_total")), "nodes")
+        wild = (F.col("_kids") >= CHILDREN) & (F.col("_n") * SHARE < F.col("_total")) & (F.col("kid") != "-")
+        named = materialize(kids.join(nodes, ["host", "g"]).select("host", "g", "kid", wild.alias("wild")), "named")
+        step = F.when(F.col("kid") == "-", "").when(F.col("wild"), "/*").otherwise(F.concat(F.lit("/"), F.substring("kid", 2, 1 << 30)))
+        tree = tree.join(named, ["host", "g", "kid"]).withColumns({"g": F.concat("g", step), "rest": tail("rest")}).drop("kid", "wild")
+
+
+def merged(templates: DataFrame) -> DataFrame:
+    """templates(host, g, n, lab, blk) with m: the template with similar branches as ~."""
+    segments = F.when(F.col("g") == "", F.array().cast("array<string>")).otherwise(F.split(F.expr("substr(g, 2)"), "/", -1))
+    tree, done = templates.withColumns({"rest": segments, "m": F.lit("")}), None
+    while True:
+        tree, gone = alone(tree, "m", "rest")
+        done = gone if done is None else done.unionByName(gone)
+        tree = materialize(tree.withColumn("kid", head("rest")).withColumn("rest", tail("rest")).withColumn("below", head("rest")), "level")
+        if tree.isEmpty():
+            return done
+        cells = materialize(tree.groupBy("host", "m", "kid", "below").agg(*(F.sum(c).alias(c) for c in ("n", "lab", "blk"))), "cells")
+        tops = materialize(cells.groupBy("host", "m", "kid").agg(F.max(F.struct("n", "below"))["below"].alias("top")), "tops")
+        cells = materialize(cells.join(tops, ["host", "m", "kid"]), "cells")
+        kin = ["host", "m", "top"]
+        spread = materialize(cells.groupBy(*kin, "below").agg(F.sum("n").alias("_nc")), "spread")
+        nodes = materialize(spread.groupBy(*kin).agg(F.count("*").alias("_cells"), F.sum("_nc").alias("_nt")), "nodes")
+        labels = materialize(cells.groupBy(*kin).agg(F.sum("lab").alias("_tl"), F.sum("blk").alias("_tb")), "labels")
+        squares = F.sum(F.col("n").cast("double") * F.col("n") / F.col("_nc")).alias("_sq")
+        kids = materialize(cells.join(spread, [*kin, "below"]).groupBy(*kin, "kid").agg(F.sum("n").alias("_n"), F.sum("lab").alias("_l"), F.sum("blk").alias("_b"), squares), "kids")
+        named = materialize(kids.join(nodes, kin).join(labels, kin).select(*kin, "kid", F.expr(ALIKE).alias("alike")), "named")
+        step = F.when(F.col("kid") == "-", "").when(F.col("alike"), F.concat(F.lit("/~"), "top")).otherwise(F.concat(F.lit("/"), F.substring("kid", 2, 1 << 30)))
+        tree = tree.join(named, ["host", "m", "kid"]).withColumn("m", F.concat("m", step)).drop("kid", "below", "alike", "top")
+
+
+#: Whether a branch (_n pages, _l labels, _b blocked, _sq the sum of n * n / _nc over its cells) is like all siblings with its top segment
+#: (_nt pages in _cells cells, _tl labels, _tb blocked), in SQL that Spark and DuckDB share.
+_CHI = "round((_nt * _sq / _n - _n) * _nt / (_nt - _n), 6)"
+_STRUCTURE = f"{_CHI} <= _cells - 1 + {SPREAD} * sqrt(2.0 * (_cells - 1))"
+_LABELS = f"(_l < {MIN_LABELS} or power(1.0 * _b * _tl - 1.0 * _tb * _l, 2) <= {SIMILAR} * _tb * (_tl - _tb) * _l)"
+ALIKE = f"case when kid = '-' or _n = _nt then false else {_STRUCTURE} and {_LABELS} end"
 
 
 def template_tree(labelled: DataFrame) -> DataFrame:
-    """(host, s1..s3, template, purity, labels) for each distinct typed path of labelled(host, s1..s3, label)."""
-    counted = labelled.groupBy("host", *S).agg(F.count("*").alias("n"), F.count("label").alias("lab"), F.coalesce(F.sum("label"), F.lit(0)).alias("blk"))
-    tree = materialize(counted, "paths")
-    for i in range(LEVELS):
-        parent, child = ["host", *G[:i]], S[i]
-        kids = materialize(tree.groupBy(*parent, child).agg(F.sum("n").alias("_n")), "children")
-        nodes = kids.groupBy(*parent).agg(F.count("*").alias("_kids"), F.sum("_n").alias("_total"))
-        wild = (F.col("_kids") >= CHILDREN) & (F.col("_n") * SHARE < F.col("_total")) & F.col(child).isNotNull()
-        named = _join(kids, nodes, parent).select(*parent, child, F.when(wild, F.lit("*")).otherwise(F.col(child)).alias(G[i]))
-        tree = materialize(_join(tree, named, [*parent, child]), "tree")
-    for i in range(LEVELS):
-        parent = ["host", *G[:i]]
-        branches = materialize(tree.groupBy(*parent, G[i]).agg(F.sum("lab").alias("_l"), F.sum("blk").alias("_b")), "branches")
-        pool = branches.groupBy(*parent).agg(F.sum("_l").alias("_tl"), F.sum("_b").alias("_tb"))
-        b, n, tb, tn = (F.col(c).cast("double") for c in ("_b", "_l", "_tb", "_tl"))
-        similar = (F.col("_l") >= MIN_LABELS) & ((b * tn - tb * n) * (b * tn - tb * n) <= SIMILAR * tb * (tn - tb) * n)
-        named = _join(branches, pool, parent).select(*parent, G[i], F.when(similar & F.col(G[i]).isNotNull(), F.lit("~")).otherwise(F.col(G[i])).alias(M[i]))
-        tree = materialize(_join(tree, named, [*parent, G[i]]), "tree")
-    lab, blk = tree.agg(F.coalesce(F.sum("lab"), F.lit(0)), F.coalesce(F.sum("blk"), F.lit(0))).first()
+    """(host, typed, template, purity, labels) for each distinct typed path of labelled(host, typed, label)."""
+    counted = labelled.groupBy("host", "typed").agg(F.count("*").alias("n"), F.count("label").alias("lab"), F.coalesce(F.sum("label"), F.lit(0)).alias("blk"))
+    paths = materialize(generalised(materialize(counted, "paths")), "generalised")
+    sums = [F.sum(c).alias(c) for c in ("n", "lab", "blk")]
+    templates = materialize(merged(materialize(paths.groupBy("host", "g").agg(*sums), "counts")), "merged")
+    lab, blk = paths.agg(F.coalesce(F.sum("lab"), F.lit(0)), F.coalesce(F.sum("blk"), F.lit(0))).first()
     prior = blk / lab if lab else 0.0
-    pooled = tree.groupBy("host", *M).agg(F.sum("lab").alias("labels"), F.sum("blk").alias("_blk"))
+    pooled = materialize(templates.groupBy("host", "m").agg(F.sum("lab").alias("labels"), F.sum("blk").alias("_blk")), "pooled")
     purity = F.round((F.col("_blk") + F.lit(SMOOTHING * prior)) / (F.col("labels") + SMOOTHING), 6)
-    named = pooled.select("host", *M, "labels", purity.alias("purity"), F.concat(*(F.coalesce(F.concat(F.lit("/"), F.col(m)), F.lit("")) for m in M)).alias("template"))
-    return _join(tree.select("host", *S, *M), named, ["host", *M]).drop(*M)
+    judged = templates.select("host", "g", "m").join(pooled, ["host", "m"]).select("host", "g", F.col("m").alias("template"), "labels", purity.alias("purity"))
+    return paths.select("host", "typed", "g").join(materialize(judged, "judged"), ["host", "g"]).drop("g")
 
 
 def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """One row per row of pages: id, host, path, rule, verdict, template, purity.
 
-    Without a rule the verdict is block when the template has labels and its
-    purity reaches THRESHOLD, else allow. A null or malformed url has empty host
-    and path and is judged like any other path. Repeated rows each get their
-    row. Other columns are not read; an empty table gives an empty result.
+    Without a rule the verdict is block when the template has MIN_LABELS labels
+    and its purity reaches THRESHOLD, else allow. A null or malformed url has
+    empty host and path and is judged like any other path. Repeated rows each
+    get their row. Other columns are not read; an empty table gives an empty
+    result.
     """
-    rows = with_segments(with_rule(split_url(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")), "_url"), rules)).drop("_url")
-    tree = materialize(template_tree(rows), "templates")
-    judged = _join(rows, tree, ["host", *S])
-    blocked = F.when(F.col("label").isNotNull(), F.col("label") == 1).otherwise((F.col("labels") > 0) & (F.col("purity") >= THRESHOLD))
+    rows = with_rule(split_url(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")), "_url"), rules).drop("_url")
+    rows = rows.withColumn("typed", typed_path(F.col("path")))
+    judged = rows.join(materialize(template_tree(rows), "templates"), ["host", "typed"])
+    blocked = F.when(F.col("label").isNotNull(), F.col("label") == 1).otherwise((F.col("labels") >= MIN_LABELS) & (F.col("purity") >= THRESHOLD))
     return judged.select(F.col("_id").alias(id_col), "host", "path", "rule", F.when(blocked, "block").otherwise("allow").alias("verdict"), "template", "purity")
 
 
@@ -111,46 +164,57 @@ def op8_url_filter(spark, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+#: Levels that the SQL walks, beyond which it takes paths as they are; the operator itself has no such bound.
+SQL_LEVELS = 5
+
+
 def _oracle() -> str:
     fits = lambda h, p: f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
     rule = "case " + " ".join(f"when {fits(h, p)} then '{h}{p}'" for _, h, p in ordered()) + " end"
     label = "case " + " ".join(f"when {fits(h, p)} then {int(v == 'block')}" for v, h, p in ordered()) + " end"
-    same = lambda a, b, keys: " and ".join(f"{a}.{k} is not distinct from {b}.{k}" for k in keys)
+    first = "case when len({0}) > 0 then '=' || {0}[1] else '-' end"
     ctes = [
-        f"""u as (select page_id, coalesce(url, '') as url, coalesce(nullif(position('://' in coalesce(url, '')), 0) + 3, length(coalesce(url, '')) + 1) as place from pages)""",
+        """u as (select page_id, coalesce(url, '') as url, coalesce(nullif(position('://' in coalesce(url, '')), 0) + 3, length(coalesce(url, '')) + 1) as place from pages)""",
         f"""r as (select page_id, translate(regexp_extract(substr(url, place), '^[^/?#]*'), '{UPPER}', '{LOWER}') as host,
               regexp_extract(substr(url, place), '^[^/?#]*([^?#]*)', 1) as path from u)""",
-        f"""l as (select *, {rule} as rule, {label} as label, regexp_replace(case when starts_with(path, '/') then path[2:] else path end, '\\d+', '<n>', 'g') as typed from r)""",
-        """g0 as (select * exclude (typed), case when path <> '' then string_split(typed, '/') end as ss from l)""",
-        """k as (select * exclude (ss), ss[1] as s1, ss[2] as s2, case when len(ss) > 2 then array_to_string(ss[3:], '/') end as s3 from g0)""",
-        "t0 as (select host, s1, s2, s3, count(*) as n, count(label) as lab, coalesce(sum(label), 0) as blk from k group by all)",
+        f"""l as (select *, {rule} as rule, {label} as label, regexp_replace(path, '\\d+', '<n>', 'g') as typed from r)""",
+        """g0 as (select host, typed, count(*) as n, count(label) as lab, coalesce(sum(label), 0) as blk, '' as g,
+              case when typed = '' then []::varchar[] else string_split(case when starts_with(typed, '/') then typed[2:] else typed end, '/') end as rest from l group by all)""",
     ]
-    for i in range(LEVELS):
-        keys, child = ["host", *G[:i]], S[i]
-        cols = ", ".join(keys)
+    for i in range(SQL_LEVELS):
         ctes += [
-            f"c{i} as (select {cols}, {child}, sum(n) as cn from t{i} group by all)",
-            f"p{i} as (select {cols}, count(*) as kids, sum(cn) as total from c{i} group by all)",
-            f"""t{i + 1} as (select t{i}.*, case when kids >= {CHILDREN} and cn * {SHARE} < total and t{i}.{child} is not null then '*' else t{i}.{child} end as {G[i]}
-              from t{i} join c{i} on {same(f"t{i}", f"c{i}", [*keys, child])} join p{i} on {same(f"t{i}", f"p{i}", keys)})""",
+            f"k{i} as (select *, {first.format('rest')} as kid from g{i})",
+            f"c{i} as (select host, g, kid, sum(n) as cn from k{i} group by all)",
+            f"p{i} as (select host, g, count(*) as kids, sum(cn) as total from c{i} group by all)",
+            f"""g{i + 1} as (select host, typed, n, lab, blk, g || case when kid = '-' then '' when kids >= {CHILDREN} and cn * {SHARE} < total then '/*' else '/' || kid[2:] end as g, rest[2:] as rest
+              from k{i} join c{i} using (host, g, kid) join p{i} using (host, g))""",
         ]
-    for i in range(LEVELS):
-        keys, child, now = ["host", *G[:i]], G[i], LEVELS + i
-        cols = ", ".join(keys)
-        test = f"b{i}.l >= {MIN_LABELS} and power(b{i}.b::double * q{i}.l - q{i}.b::double * b{i}.l, 2) <= {SIMILAR}::double * q{i}.b * (q{i}.l - q{i}.b) * b{i}.l"
+    ctes += [
+        f"gt as (select host, typed, lab, blk, n, g || case when len(rest) > 0 then '/' || array_to_string(rest, '/') else '' end as g from g{SQL_LEVELS})",
+        "m0 as (select host, g, '' as m, case when g = '' then []::varchar[] else string_split(g[2:], '/') end as rest, sum(n) as n, sum(lab) as lab, sum(blk) as blk from gt group by all)",
+    ]
+    for i in range(SQL_LEVELS):
         ctes += [
-            f"b{i} as (select {cols}, {child}, sum(lab) as l, sum(blk) as b from t{now} group by all)",
-            f"q{i} as (select {cols}, sum(l) as l, sum(b) as b from b{i} group by all)",
-            f"""t{now + 1} as (select t{now}.*, case when {test} and t{now}.{child} is not null then '~' else t{now}.{child} end as {M[i]}
-              from t{now} join b{i} on {same(f"t{now}", f"b{i}", [*keys, child])} join q{i} on {same(f"t{now}", f"q{i}", keys)})""",
+            f"mk{i} as (select host, g, m, n, lab, blk, rest[2:] as rest, {first.format('rest')} as kid, {first.format('rest[2:]')} as below from m{i})",
+            f"mc{i} as (select host, m, kid, below, sum(n) as n, sum(lab) as lab, sum(blk) as blk from mk{i} group by all)",
+            f"md{i} as (select host, m, kid, below as top from mc{i} qualify row_number() over (partition by host, m, kid order by n desc, below desc) = 1)",
+            f"mx{i} as (select mc{i}.*, top from mc{i} join md{i} using (host, m, kid))",
+            f"ms{i} as (select host, m, top, below, sum(n) as _nc from mx{i} group by all)",
+            f"mn{i} as (select host, m, top, count(*) as _cells, sum(_nc) as _nt from ms{i} group by all)",
+            f"ml{i} as (select host, m, top, sum(lab) as _tl, sum(blk) as _tb from mx{i} group by all)",
+            f"mb{i} as (select host, m, top, kid, sum(n) as _n, sum(lab) as _l, sum(blk) as _b, sum(n::double * n / _nc) as _sq from mx{i} join ms{i} using (host, m, top, below) group by all)",
+            f"ma{i} as (select host, m, top, kid, {ALIKE} as alike from mb{i} join mn{i} using (host, m, top) join ml{i} using (host, m, top))",
+            f"""m{i + 1} as (select host, g, m || case when kid = '-' then '' when alike then '/~' || top else '/' || kid[2:] end as m, rest, n, lab, blk from mk{i} join ma{i} using (host, m, kid))""",
         ]
-    last, m = f"t{2 * LEVELS}", ", ".join(M)
-    prior = f"(select coalesce(sum(blk) / nullif(sum(lab), 0), 0) from {last})"
-    ctes.append(f"z as (select host, {m}, sum(lab) as labels, round((sum(blk) + {SMOOTHING}::double * {prior}) / (sum(lab) + {SMOOTHING}), 6)::double as purity from {last} group by all)")
-    template = " || ".join(f"coalesce('/' || z.{x}, '')" for x in M)
-    return f"""with {", ".join(ctes)} select page_id, k.host, path, rule,
-      case when label = 1 or label is null and labels > 0 and purity >= {THRESHOLD} then 'block' else 'allow' end as verdict, {template} as template, purity
-      from k join {last} t on {same("k", "t", ["host", *S])} join z on {same("t", "z", ["host", *M])}"""
+    ctes += [
+        f"mt as (select host, g, lab, blk, m || case when len(rest) > 0 then '/' || array_to_string(rest, '/') else '' end as template from m{SQL_LEVELS})",
+        "prior as (select coalesce(sum(blk) / nullif(sum(lab), 0), 0) as share from gt)",
+        f"z as (select host, template, sum(lab) as labels, round((sum(blk) + {SMOOTHING}::double * (select share from prior)) / (sum(lab) + {SMOOTHING}), 6)::double as purity from mt group by all)",
+    ]
+    ctes = [f"{c.split(' as ', 1)[0]} as materialized {c.split(' as ', 1)[1]}" for c in ctes]
+    return f"""with {", ".join(ctes)} select page_id, l.host, path, rule,
+      case when label = 1 or label is null and labels >= {MIN_LABELS} and purity >= {THRESHOLD} then 'block' else 'allow' end as verdict, template, purity
+      from l join gt using (host, typed) join mt using (host, g) join z using (host, template)"""
 
 
 ORACLE = _oracle()

@@ -68,6 +68,23 @@ def test_url_templates_learn_from_labels(spark):
     assert all(got[i] == "block" for i in range(60)) and all(got[200 + i] == "allow" for i in range(3))
 
 
+def test_url_pages_without_a_rule_take_their_siblings_verdict(spark):
+    rows = [(i, f"http://a.net/{('es', 'fr')[i % 2]}/{i}/view") for i in range(40)]  # blocked by rules
+    rows += [(100 + i, f"http://a.net/de/{i}/view") for i in range(9)]  # no rule, built like them
+    rows += [(200 + i, f"http://a.net/about/team/x{i}") for i in range(40)]  # no rule, built otherwise
+    rows += [(300 + i, f"http://b.org/de/{i}/view") for i in range(9)]  # a host without labels
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
+    assert all(got[i][1] == "block" and got[i][0] for i in range(40)) and all(got[100 + i] == (None, "block") for i in range(9))
+    assert all(got[200 + i] == got.get(300 + i, (None, "allow")) == (None, "allow") for i in range(40))
+
+
+def test_url_templates_at_any_depth(spark):
+    deep = "/".join("abcdefghijklmnopqrstuvwxyz")
+    rows = [(i, f"http://a.net/{deep}/user{chr(97 + i % 26)}{chr(97 + i // 26)}/post") for i in range(60)] + [(100, "http://a.net/" + "x/" * 2000)]
+    got = {r.page_id: r.template for r in url_filter(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
+    assert {got[i] for i in range(60)} == {f"/{deep}/*/post"} and got[100].endswith("/x/")
+
+
 def test_warc_edges(spark):
     big, other = "ß" * 600, "x" * 999
     rows = [(1, "http://a.b/1", big), (2, "http://a.b/2 \r\n", big), (3, None, None), (4, "http://a.b/4", other), (5, "http://a.b/4", other), (None, "u", big), (2, "http://a.b/2 \r\n", big)]
