@@ -32,8 +32,8 @@ OPENERS = (
     "One Two Three Is Are Was Were Do Does Did Has Have Had Can Could May Might Must Shall Should Will Would Let Given Find Suppose Assume Calculate Compute Determine Choose Consider"
 ).split()
 _PLAIN = rf"(?!(?:{'|'.join(OPENERS)})(?![\p{{L}}\p{{N}}]))"
-#: A run of capitalised words that open no sentence by themselves.
-NAME = rf"(?<![\p{{L}}\p{{N}}]){_PLAIN}\p{{Lu}}\p{{Ll}}+(?: {_PLAIN}\p{{Lu}}\p{{Ll}}+){{0,4}}(?![\p{{L}}\p{{N}}])"
+#: A run of capitalised words that open no sentence by themselves; the look-ahead comes first, as it fails fastest.
+NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){_PLAIN}\p{{Lu}}\p{{Ll}}+(?: {_PLAIN}\p{{Lu}}\p{{Ll}}+){{0,4}}(?![\p{{L}}\p{{N}}])"
 #: Units of measure and currency, as whole words after a number.
 UNITS = (
     "mm cm dm m km in ft yd mi mg g kg t lb oz ml cl l s sec min h hr hrs ms day days week weeks month months year years second seconds minute minutes hour hours "
