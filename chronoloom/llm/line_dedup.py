@@ -75,7 +75,7 @@ def chunks(rows: DataFrame, with_text: bool) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col cleaned, plus n_lines, removed_lines and removed_chunks; all other columns stay.
+    """docs with text_col cleaned, plus n_lines, removed_lines and removed_chunks, which replace columns of those names; all others stay.
 
     A document that loses every line has the empty text; a null text stays
     null and has no lines. A null id comes before all others. Rows that share
@@ -89,25 +89,30 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated = materialize(seen.filter("c > 1").select("h", "size", "first"), "repeated")
     copies = materialize(chunks(rows, True).join(repeated.hint("merge"), ["h", "size"]), "copies")
     is_first = place.eqNullSafe(F.col("first"))
-    kept = copies.filter(is_first).dropDuplicates(["h", "size"]).select("h", "size", F.col("chunk").alias("original"))
+    # written first, so that the join reads two tables and a chunk of very many copies can be split
+    kept = materialize(copies.filter(is_first).dropDuplicates(["h", "size"]).select("h", "size", F.col("chunk").alias("original")), "kept")
     later = copies.filter(~is_first).join(kept, ["h", "size"]).filter(F.col("chunk") == F.col("original"))
     ranges = later.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("_r"))
     ranges = materialize(ranges.select(F.col("id").alias("_rid"), F.col("th").alias("_rth"), "_r"), "ranges")
 
+    # names of the caller's columns are never used for the steps between
+    own = iter(n for n in (f"_dedup{i}" for i in range(len(docs.columns) + 9)) if n not in docs.columns)
+    rid, rth, r, th, lines, clean = (next(own) for _ in range(6))
+    ranges = ranges.withColumnsRenamed({"_rid": rid, "_rth": rth, "_r": r})
     # Spark's xxhash64 of a string is XXH64 of its UTF-8 bytes with seed 42, as the kernel computes it
-    hashed = docs.withColumn("_th", F.xxhash64(F.col(text_col).cast("string")))
-    both = hashed.join(ranges.hint("merge"), F.col(id_col).eqNullSafe(F.col("_rid")) & (F.col("_th") == F.col("_rth")), "left")
-    lines = both.withColumn("_l", F.split(F.col(text_col), "\n", -1))
-    gap = """transform(sequence(0, size(_r)), k -> slice(_l, case when k = 0 then 1 else _r[k - 1].start + _r[k - 1].n + 1 end,
-      case when k = size(_r) then size(_l) else _r[k].start end - case when k = 0 then 0 else _r[k - 1].start + _r[k - 1].n end))"""
-    clean = F.when(F.col("_r").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(F.expr(gap)), "\n"))
-    removed = F.coalesce(F.expr("aggregate(_r, 0L, (a, x) -> a + x.n)"), F.lit(0).cast("bigint"))
-    out = lines.withColumns({
-        text_col: clean, "n_lines": F.coalesce(F.size("_l"), F.lit(0)).cast("bigint"), "removed_lines": removed,
-        "removed_chunks": F.coalesce(F.size("_r"), F.lit(0)).cast("bigint"),
-    })
-    out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0).cast("bigint")).otherwise(F.col("n_lines")))
-    return out.withColumn("removed_chunks", F.greatest("removed_chunks", F.lit(0).cast("bigint"))).drop("_th", "_rid", "_rth", "_r", "_l")
+    hashed = docs.withColumn(th, F.xxhash64(F.col(text_col).cast("string")))
+    both = hashed.join(ranges.hint("merge"), F.col(id_col).eqNullSafe(F.col(rid)) & (F.col(th) == F.col(rth)), "left")
+    both = both.withColumn(lines, F.split(F.col(text_col), "\n", -1))
+    gap = f"""transform(sequence(0, size({r})), k -> slice({lines}, case when k = 0 then 1 else {r}[k - 1].start + {r}[k - 1].n + 1 end,
+      case when k = size({r}) then size({lines}) else {r}[k].start end - case when k = 0 then 0 else {r}[k - 1].start + {r}[k - 1].n end))"""
+    both = both.withColumn(clean, F.when(F.col(r).isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(F.expr(gap)), "\n")))
+    counts = {
+        "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("bigint"),
+        "removed_lines": F.coalesce(F.expr(f"aggregate({r}, 0L, (a, x) -> a + x.n)"), F.lit(0).cast("bigint")),
+        "removed_chunks": F.greatest(F.coalesce(F.size(r), F.lit(0)), F.lit(0)).cast("bigint"),
+    }
+    columns = [F.col(clean).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in counts]
+    return both.select(*columns, *(v.alias(k) for k, v in counts.items()))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

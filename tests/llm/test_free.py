@@ -65,6 +65,14 @@ def test_line_dedup_edges(spark):
     assert line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    body = "\n".join(f"a line {i}" for i in range(9))
+    df = spark.createDataFrame([(1, body), (2, body)], "doc_id bigint, text string").selectExpr("*", "7 as _th", "8 as _r", "9 as _dedup0", "'x' as _rid", "5 as n_lines")
+    got = {r.doc_id: r for r in line_dedup(df).collect()}
+    assert (got[1]._th, got[1]._r, got[1]._dedup0, got[1]._rid, got[1].n_lines) == (7, 8, 9, "x", 9)
+    assert got[1].text == body and got[2].text == "" and got[2].removed_lines == 9
+
+
 def test_chunks_resist_shifts():
     lines = [f"{i * i % 1009} x".encode() for i in range(400)]
     cut = lambda x: {b"\n".join(x[a : a + n]) for a, n in chunk_lines(x)}
