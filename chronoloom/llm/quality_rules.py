@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from chronoloom.llm.common import materialize, sized_broadcast, table, text_of, words_of
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-#: Documents a (language, source) group needs for estimates of its own; smaller ones use their language's.
+#: Documents a (language, source) group needs for estimates of its own; smaller ones use their language's, or all documents'.
 MIN_GROUP = 60
+#: The group of all documents; no group's name starts like it.
+WHOLE = "*"
 STEPS = 3
 #: Squared distance beyond which a document is rejected. Chosen after looking at the distances in the check documents,
 #: where any value from 63 to 106 decides alike; chi-square of five degrees of freedom exceeds 75 with a probability of
@@ -138,11 +140,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of docs: the base statistics, base_failed, kept, distance and text_hash, which with the id names the document.
 
     Estimates use the documents that pass the base rules. A (language, source)
-    group with fewer than min_group of them is pooled with the other small
-    groups of its language; a pool that is still smaller rejects nothing beyond
-    the base rules. Null language or source is a group like any other; a null
-    or empty text fails the base rules; repeated rows each get their row; an
-    empty table gives an empty result. Other columns of docs are not read.
+    group with fewer than min_group of them is judged by the estimates of its
+    whole language, and where that is smaller too by those of all documents;
+    only a table with fewer than min_group of them rejects nothing beyond the
+    base rules. Null language or source is a group like any other; a null or
+    empty text fails the base rules; repeated rows each get their row; an empty
+    table gives an empty result. Other columns of docs are not read.
     """
     lang, source = group
     own_columns = (F.col(lang).cast("string").alias("_lang"), F.col(source).cast("string").alias("_source"), F.xxhash64(text_of(docs, text_col)).alias("_th"))
@@ -151,13 +154,22 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mark = F.concat(F.coalesce(F.concat(F.lit("="), "_lang"), F.lit("-")), F.lit("\x01"))
     own = F.concat(mark, F.coalesce(F.concat(F.lit("="), "_source"), F.lit("-")))
     good = stats.filter(~F.col("base_failed")).withColumns({"_own": own, "_pool": mark})
-    counts = good.groupBy("_own", "_pool").agg(F.count("*").alias("_n"))
-    pools = counts.filter(F.col("_n") < min_group).groupBy("_pool").agg(F.sum("_n").alias("_pn"))
-    keyed = counts.join(pools, "_pool", "left").select("_own", F.when(F.col("_n") >= min_group, F.col("_own")).when(F.col("_pn") >= min_group, F.col("_pool")).alias("g"))
-    groups = materialize(keyed, "groups")
-    vectors = good.join(groups, "_own").filter("g is not null").selectExpr("g", *(f"{e} as {x}" for e, x in zip(VECTOR, X, strict=True)))
+    counts = materialize(good.groupBy("_own", "_pool").agg(F.count("*").alias("_n")), "counts")
+    pools = counts.groupBy("_pool").agg(F.sum("_n").alias("_pn"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    whole = F.lit(WHOLE if total >= min_group else None).cast("string")
+    keyed = counts.join(pools, "_pool").withColumn("g", F.when(F.col("_n") >= min_group, F.col("_own")).when(F.col("_pn") >= min_group, F.col("_pool")).otherwise(whole))
+    keyed = materialize(keyed, "keyed")
+    # a document counts for its own estimates and for those of every pool that some group is judged by
+    used = materialize(keyed.groupBy("g").agg(F.count("*").alias("_u")), "used")
+    needed = used.select(F.col("g").alias("_pool"), F.col("g").alias("_pg"))
+    by_all = F.lit(WHOLE if used.filter(F.col("g") == WHOLE).count() else None).cast("string")
+    own_group = F.when(F.col("_n") >= min_group, F.col("_own"))
+    groups = materialize(keyed.join(needed, "_pool", "left").select("_own", "g", F.array_compact(F.array(own_group, F.col("_pg"), by_all)).alias("for")), "groups")
+    placed = good.join(groups, "_own").withColumn("g", F.explode("for"))
+    vectors = placed.selectExpr("g", *(f"{e} as {x}" for e, x in zip(VECTOR, X, strict=True)))
     found = estimates(materialize(vectors, "vectors"))
-    limits = materialize(groups.join(found, "g").drop("g"), "limits")
+    limits = materialize(groups.drop("for").join(found, "g").drop("g"), "limits")
     scored = stats.withColumn("_own", own).join(limits, "_own", "left").selectExpr("*", *(f"{e} as {x}" for e, x in zip(VECTOR, X, strict=True)))
     scored = scored.withColumn("distance", F.when(~F.col("base_failed"), F.expr(DISTANCE)))
     return scored.select(
@@ -185,9 +197,11 @@ def _oracle() -> str:
             n_words < {MIN_WORDS} or 100 * coalesce(n_repeat_words, 0) > {REPEAT_PERCENT} * n_words as base_failed,
             coalesce('=' || lang, '-') || chr(1) as pool, coalesce('=' || lang, '-') || chr(1) || coalesce('=' || source, '-') as own from st0 left join rep using (doc_id))""",
         "cnt as (select own, pool, count(*) as n from st where not base_failed group by all)",
-        f"pn as (select pool, sum(n) as pn from cnt where n < {MIN_GROUP} group by 1)",
-        f"gr as (select own, case when n >= {MIN_GROUP} then own when pn >= {MIN_GROUP} then pool end as g from cnt left join pn using (pool))",
-        f"vec as (select g, {vector} from st join gr using (own) where not base_failed and g is not null)",
+        "pn as (select pool, sum(n) as pn from cnt group by 1)",
+        f"""gr as (select own, pool, n, case when n >= {MIN_GROUP} then own when pn >= {MIN_GROUP} then pool when (select sum(n) from cnt) >= {MIN_GROUP} then '{WHOLE}' end as g
+            from cnt join pn using (pool))""",
+        f"""vec as (select unnest(list_distinct([case when n >= {MIN_GROUP} then own end, case when gr.pool in (select g from gr) then gr.pool end,
+            case when '{WHOLE}' in (select g from gr) then '{WHOLE}' end])) as g, {vector} from st join gr using (own) where not base_failed)""",
         f"""h0 as (select g, i, floor(x * {MEDIAN_BINS}) as bin, count(*) as n from (select g, unnest(range({P})) as i, unnest([{", ".join(X)}]) as x from vec) group by all)""",
         f"m0 as (select g, i, min(bin) as cut from (select * from h0 {half.format(k='g, i')}) group by all)",
         f"e0 as (select g, {', '.join(f'max(case when i = {i} then (cut + 0.5) / {MEDIAN_BINS} end) as c{i}' for i in range(P))}, {', '.join(START)} from m0 group by g)",
@@ -199,7 +213,7 @@ def _oracle() -> str:
             f"q{k + 1} as (select g, {', '.join(MOMENTS)} from vec join e{k} using (g) join t{k + 1} using (g) where {BIN} <= cut group by g)",
             f"e{k + 1} as (select g, {', '.join(SOLVE)} from q{k + 1})",
         ]
-    ctes.append(f"d as (select st.*, {vector}, e{STEPS}.* exclude (g) from st left join gr using (own) left join e{STEPS} using (g) where not base_failed)")
+    ctes.append(f"d as (select st.*, {vector}, e{STEPS}.* exclude (g) from st left join (select own, g from gr) using (own) left join e{STEPS} using (g) where not base_failed)")
     tail = f"""select st.doc_id, st.n_words, st.word_chars, st.n_symbols, st.n_dup_lines, st.n_repeat_words, st.base_failed,
       not st.base_failed and coalesce(x.ok, true) as kept, st.n_lines, st.n_upper
       from st left join (select doc_id, coalesce({DISTANCE} <= {CUTOFF}, true) as ok from d) x using (doc_id)"""

@@ -36,6 +36,15 @@ def test_quality_rejects_outliers(spark):
     assert sorted(r.doc_id for r in quality_rules(df).filter("not kept").collect()) == [1000 + i for i in range(9)]
 
 
+def test_quality_judges_small_groups(spark):
+    text = lambda i: " ".join(f"word{(i * 7 + j * j) % 97}" for j in range(60 + i % 40))
+    junk = " ".join(f"w{j}$$$%%" for j in range(70))
+    rows = [(i, text(i), "en", "a") for i in range(200)]
+    rows += [(1000, junk, "en", "tiny"), (1001, text(3), "en", "tiny"), (1002, junk, None, None), (1003, text(4), "xx", "b"), (1004, junk, "xx", "b")]
+    got = quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))
+    assert sorted(r.doc_id for r in got.filter("not kept").collect()) == [1000, 1002, 1004]
+
+
 def test_license_edges(spark):
     text = "Start. Permission is hereby granted, free of charge, to ANY person obtaining one copy of this software and associated documentation files. CC-BY cc by. All rights reserved"
     df = spark.createDataFrame([(1, text), (2, None), (None, text), (1, text), (3, "cc by cc by")], "doc_id bigint, text string").selectExpr("*", "1 as label", "2 as pos")
