@@ -53,10 +53,15 @@ def canonical(df: DataFrame, text, *keep: str) -> DataFrame:
     return three.select(*keep, "_t0", "_t1", "_t2", words_of(F.lower("_t3"), SEPARATORS).alias("_w"))
 
 
-def window_hashes(words: str, written: bool = False) -> str:
-    """Hashes of all windows of a word array, of another family for words as written."""
-    cols = ", ".join(f"{words}[i + {j}]" for j in range(WINDOW)) + ", 1" * written
-    return f"case when size({words}) >= {WINDOW} then transform(sequence(0, size({words}) - {WINDOW}), i -> xxhash64({cols})) else cast(array() as array<bigint>) end"
+def word_hashes(words: str):
+    """A 64-bit hash of each word, from which all windows that hold it are hashed."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def window_hashes(hashes: str, written: bool = False) -> str:
+    """Hashes of all windows of an array of word hashes, of another family for words as written."""
+    cols = ", ".join(f"{hashes}[i + {j}]" for j in range(WINDOW)) + ", 1" * written
+    return f"case when size({hashes}) >= {WINDOW} then transform(sequence(0, size({hashes}) - {WINDOW}), i -> xxhash64({cols})) else cast(array() as array<bigint>) end"
 
 
 def slots(cut: DataFrame, *keep: str) -> DataFrame:
@@ -90,21 +95,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = benchmark.select(F.col(item_col).alias("_item"), text_of(benchmark, item_text_col).alias("_it"))
     item_cut = materialize(canonical(items, F.col("_it"), "_item"), "items")
-    exploded = item_cut.select("_item", F.size("_w").alias("item_words"), "_w", F.posexplode(F.expr(window_hashes("_w"))).alias("ipos", "h"))
+    hashed = item_cut.withColumn("_x", word_hashes("_w"))
+    exploded = hashed.select("_item", F.size("_w").alias("item_words"), "_w", F.posexplode(F.expr(window_hashes("_x"))).alias("ipos", "h"))
     plain = F.size(F.filter(F.slice("_w", F.col("ipos") + 1, WINDOW), lambda x: ~x.isin(NUM, UNIT, NAME_SLOT)))
     item_windows = exploded.filter(plain >= MIN_PLAIN).select("_item", "item_words", "ipos", "h", F.lit(False).alias("written"))
     if by_window:
-        raw = item_cut.select("_item", words_of(F.lower("_t0"), SEPARATORS).alias("_r"))
+        raw = item_cut.select("_item", word_hashes(words_of(F.lower("_t0"), SEPARATORS)).alias("_r"))
         raw = raw.select("_item", F.size("_r").alias("item_words"), F.posexplode(F.expr(window_hashes("_r", True))).alias("ipos", "h"))
         item_windows = item_windows.unionByName(raw.withColumn("written", F.lit(True)))
     item_windows = materialize(item_windows, "windows")
     passes = max(1, -(-item_windows.count() // BROADCAST_WINDOWS))
 
     source = docs.select(F.col(id_col).alias("_id"), text_of(docs, text_col).alias("_dt"))
-    cut = canonical(source.withColumn("_th", F.xxhash64("_dt")), F.col("_dt"), "_id", "_th").withColumn("_hc", F.expr(window_hashes("_w")))
+    cut = canonical(source.withColumn("_th", F.xxhash64("_dt")), F.col("_dt"), "_id", "_th").withColumn("_x", word_hashes("_w")).withColumn("_hc", F.expr(window_hashes("_x")))
     every = F.col("_hc")
     if by_window:
-        cut = cut.withColumn("_r", words_of(F.lower("_t0"), SEPARATORS))
+        cut = cut.withColumn("_r", word_hashes(words_of(F.lower("_t0"), SEPARATORS)))
         every = F.concat("_hc", F.expr(window_hashes("_r", True)))
     windows = cut.select("_id", "_th", F.size("_hc").alias("_n"), F.posexplode(every).alias("pos", "h"))
     hits = None
