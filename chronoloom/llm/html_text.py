@@ -20,7 +20,7 @@ from chronoloom.llm.common import table
 #: Fixed values of HTML: elements without content, and elements whose content is text only.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER_SHOWN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist meta link area param".split())
+NEVER_SHOWN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas annotation annotation-xml datalist meta link area param".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr menu".split())
 BLOCK = SPACED | frozenset("html body div section article header footer nav main aside address form li dt dd tr td th caption thead tbody tfoot figcaption details summary center dir hgroup legend optgroup option search".split())
 CLOSES_P = BLOCK - frozenset("html body td th tr thead tbody tfoot caption option optgroup legend".split())
@@ -51,7 +51,8 @@ ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
 HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
-MAX_TABLES = 8
+#: Tables nested deeper than this are laid out as plain blocks; a line of a cell that is longer than WIDE is not padded for.
+MAX_TABLES, WIDE = 8, 80
 
 
 class Node:
@@ -72,15 +73,22 @@ def parse(html: str) -> Node:
     """The document's tree; tags the source leaves out are implied, stray end tags are passed over."""
     root = Node("html")
     stack, at, n = [root], 0, len(html)
+    # places of the open elements by tag, so that no tag has to search the open elements
+    places: dict[str, list[int]] = {"html": [0]}
+
+    def nearest(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            places[stack.pop().tag].pop()
 
     def close(tags: frozenset[str], stops: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return close(tags, stops) if len(tags) > 1 else None
-            if stack[i].tag in stops:
-                return None
-        return None
+        stop = nearest(stops)
+        while (i := nearest(tags)) > max(stop, 0):
+            cut(i)
+            if len(tags) == 1:
+                return
 
     while at < n:
         lt = html.find("<", at)
@@ -101,26 +109,23 @@ def parse(html: str) -> Node:
                 if tag == "br":
                     stack[-1].children.append(Node("br"))
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE and tag not in ("table", "html", "body", *SCOPE, "tr", "thead", "tbody", "tfoot"):
-                    break
+            free = tag in ("table", "html", "body", "tr", "thead", "tbody", "tfoot") or tag in SCOPE
+            if (i := nearest((tag,))) > 0 and (free or i > nearest(SCOPE)):
+                cut(i)
             continue
         if not (name := m[2] or m[4]):
             continue
         tag, source = name.lower(), m[3] or m[5] or ""
-        if tag in ("html", "body") and (tag == "html" or any(x.tag == "body" for x in stack)):
+        if tag in ("html", "body") and (tag == "html" or places.get("body")):
             continue
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         if tag in CLOSES_P:
             close(frozenset(("p",)), SCOPE)
             if len(tag) == 2 and tag[0] == "h" and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6") and tag != "hr":
-                stack.pop()
+                cut(len(stack) - 1)
             if stack[-1].tag == "head":
-                stack.pop()
+                cut(len(stack) - 1)
         node = Node(tag, attributes(source) if "=" in source or source.strip(" /\n\t\r") else None)
         stack[-1].children.append(node)
         if tag in RAW:
@@ -128,6 +133,7 @@ def parse(html: str) -> Node:
             node.children.append(html[at : stop.start() if stop else n])
             at = html.find(">", stop.end()) + 1 or n if stop else n
         elif tag not in VOID and not (source.endswith("/") and tag in ("path", "circle", "rect", "g")):
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
     return root
 
@@ -213,29 +219,41 @@ def span(node: Node) -> int:
 
 
 def table_lines(node: Node, hidden: frozenset[str], depth: int) -> list[str]:
-    """A table's rows as lines with cells aligned in columns, two blanks apart; captions come first."""
-    above, rows = [], []
-    todo = [node]
+    """A table's rows as lines with cells aligned in columns, two blanks apart.
+
+    Captions, and text or elements that stand in a table outside its cells, come
+    first. An element around cells or rows, as a form, is passed through.
+    """
+    above: list[str] = []
+    rows: list[list[tuple[list[str], int]]] = []
+    # (element, the row it stands in)
+    todo: list[tuple] = [(c, None) for c in reversed(node.children)]
     while todo:
-        x = todo.pop()
-        for c in reversed(x.children) if x.tag not in ("tr", "caption") or x is node else ():
-            if not isinstance(c, str) and visible(c, hidden):
-                todo.append(c)
-        if x.tag == "caption":
-            above += render_lines(x, hidden, depth + 1)
+        x, row = todo.pop()
+        if isinstance(x, str):
+            above += [s] if (s := " ".join(BLANKS.split(unescape(x))).strip()) else []
+        elif not visible(x, hidden) or x.tag == "col":
+            continue
+        elif x.tag in _CELL:
+            if row is None:
+                rows.append(row := [])
+            row.append((render_lines(x, hidden, depth + 1), span(x)))
         elif x.tag == "tr":
-            rows.append([(render_lines(c, hidden, depth + 1), span(c)) for c in x.children if not isinstance(c, str) and c.tag in ("td", "th") and visible(c, hidden)])
-        elif x.tag not in ("table", "thead", "tbody", "tfoot", "colgroup", "col"):
-            todo = [y for y in todo if y not in x.children]
-            above += render_lines(x, hidden, depth + 1)
-    above += [s for c in node.children if isinstance(c, str) and (s := " ".join(BLANKS.split(unescape(c))).strip())]
+            rows.append(own := [])
+            todo += ((c, own) for c in reversed(x.children))
+        elif x.tag in ("thead", "tbody", "tfoot", "colgroup") or any(not isinstance(c, str) and c.tag in _BODY for c in x.children) and x.tag not in ("caption", "table"):
+            todo += ((c, row) for c in reversed(x.children))
+        else:
+            holder = Node("div")
+            holder.children = x.children if x.tag == "caption" else [x]
+            above += render_lines(holder, hidden, depth + 1)
     widths: list[int] = []
     for row in rows:
         col = 0
         for lines, wide in row:
             widths += [0] * (col + wide - len(widths))
             if wide == 1:
-                widths[col] = max(widths[col], max(map(len, lines), default=0))
+                widths[col] = max(widths[col], max((len(s) for s in lines if len(s) <= WIDE), default=0))
             col += wide
     out = []
     for row in rows:

@@ -153,6 +153,9 @@ def test_first_fit_decreasing(sizes):
         ("x <!-- <p>no --> y </nothing> <3 < z", "x y <3 < z"),
         ("<title>t</title><textarea>a <b></textarea>", "a <b>"),
         ("<dl><dt>T<dd>D<dt>U<dd>E</dl>", "T\n  D\nU\n  E"),
+        ("<table><tr>stray<form><td>a</td><td>b</td></form></tr><tr><td>cc<td>d</table>", "stray\na   b\ncc  d"),
+        ("<table><tbody>loose<tr><td>x</table>", "loose\nx"),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b", "a x=1 b"),
         ("", ""),
         ("<p", ""),
         ("<a href=\"x", ""),
@@ -170,6 +173,20 @@ def test_html_edges(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_html_hostile_pages_stay_linear():
+    import time
+
+    def seconds(html):
+        began = time.process_time()
+        assert html_to_text(html)[1].endswith("x")
+        return time.process_time() - began
+
+    for part in ("<div>", "<p><button><div>", "<b></i>", "<ul><li>"):
+        assert seconds(part * 16_000 + "x") < 12 * max(seconds(part * 4000 + "x"), 0.02)
+    wide = "<table><tr><td>" + "w" * 20_000 + "<td>b" + "<tr><td>a<td>b" * 2000 + "</table>x"
+    assert len(html_to_text(wide)[1]) < 4 * len(wide)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from("<p> <b> </b> <li> <ul> </ul> <table> <tr> <td> </table> x &amp; <!-- --> <script> </script> < > \" <a href='".split()), max_size=30))
 def test_html_never_fails(parts):
