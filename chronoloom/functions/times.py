@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,3 +22,11 @@ def zoned_millis(text: Column, tz: str) -> Column:
     good = text.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\s*$")
     wall = F.when(good, F.trim(text).try_cast("timestamp_ntz"))
     return wall_millis(F.convert_timezone(F.lit(tz), F.lit("UTC"), wall))
+
+
+def bound_millis(bound: int | str, tz: str = "UTC") -> int:
+    """A query bound: milliseconds as they are, or text like 2015-02-26 21:42:53 on the wall clock of tz."""
+    if isinstance(bound, str):
+        wall = datetime.strptime(bound.strip(), "%Y-%m-%d %H:%M:%S").replace(tzinfo=ZoneInfo(tz))
+        return int(wall.timestamp()) * 1000
+    return bound

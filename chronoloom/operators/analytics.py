@@ -53,7 +53,7 @@ def images(points: DataFrame, variables: Sequence[str]) -> DataFrame:
 
 
 def mismatches(left: DataFrame, right: DataFrame, variables: Sequence[str]) -> DataFrame:
-    """Rows that two decoded point sets don't share, compared by bit image: empty means bit-perfect."""
-    cols = ["series_key", "ts", *variables]
+    """Rows that two decoded point sets don't share, by key, place and bit image: empty means bit-perfect and in order."""
+    cols = [c for c in ("series_key", "epoch", "block_start", "pos", "ts") if c in left.columns and c in right.columns] + list(variables)
     a, b = images(left, variables).select(*cols), images(right, variables).select(*cols)
     return a.exceptAll(b).unionByName(b.exceptAll(a))

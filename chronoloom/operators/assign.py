@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.schema import DEFAULT_DURATION_MS
@@ -10,11 +10,12 @@ from chronoloom.schema import DEFAULT_DURATION_MS
 SEQ_CHUNK = 1 << 20
 
 
-def assign_blocks(points: DataFrame, duration_ms: int | None = DEFAULT_DURATION_MS, seq_chunk: int = SEQ_CHUNK) -> DataFrame:
+def assign_blocks(points: DataFrame, duration_ms: int | Column | None = DEFAULT_DURATION_MS, seq_chunk: int = SEQ_CHUNK) -> DataFrame:
     """Add block_start to points(series_key, epoch, seq, ts, ...).
 
     A late point stays in the block that is open when it arrives. duration_ms
-    None means one block per (series, epoch), starting at its first timestamp.
+    None means one block per (series, epoch), starting at its first timestamp; a
+    column gives every series its own duration.
 
     The running maximum is taken in two levels, over ranges of seq_chunk
     sequence numbers and then inside each, so that a series that holds a large
@@ -25,7 +26,7 @@ def assign_blocks(points: DataFrame, duration_ms: int | None = DEFAULT_DURATION_
     if duration_ms is None:
         first = points.groupBy("series_key", "epoch").agg(F.min_by("ts", "seq").alias("block_start"))
         return points.join(first, ["series_key", "epoch"])
-    if duration_ms <= 0:
+    if not isinstance(duration_ms, Column) and duration_ms <= 0:
         raise ValueError("the block duration must be positive")
     floor = F.col("ts") - F.pmod(F.col("ts"), F.lit(duration_ms))
     cut = points.withColumns({"_floor": floor, "_range": F.floor(F.col("seq") / F.lit(seq_chunk)).cast("bigint")})

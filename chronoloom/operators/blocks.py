@@ -12,23 +12,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.operators.assign import assign_blocks
-from chronoloom.operators.codec import pack_blocks, unpack_block
+from chronoloom.operators.codec import pack_blocks, unpack_blocks
 from chronoloom.schema import BLOCK_SCHEMA, DEFAULT_DURATION_MS, KEYS, check_variables, points_schema, validate_points
 
 MAX_TS = (1 << 63) - 1
-LARGE_BLOCK_POINTS, OUT_ROWS = 5_000_000, 20_000
+LARGE_BLOCK_POINTS, OUT_ROWS, DECODE_POINTS = 5_000_000, 20_000, 1 << 18
 
 
-def pack(assigned: DataFrame, variables: Sequence[str], codec: str = "standard") -> DataFrame:
+def pack(assigned: DataFrame, variables: Sequence[str] | None, codec: str = "standard", by_range: bool = False) -> DataFrame:
     """Pack points that carry block_start.
 
+    Without variables the points hold an array column named values, whose
+    length may differ from series to series. by_range deals key ranges instead
+    of hashes, so that files written from the result cover few series each.
+
     Points are dealt by (series, epoch, block) and sorted, and a task encodes
     all whole blocks of an Arrow batch at once; only a block longer than a batch
     is held back until it ends.
     """
     if codec not in ("standard", "guarded"):
         raise ValueError("codec must be standard or guarded")
-    names = check_variables(variables)
+    names = None if variables is None else check_variables(variables)
+
+    def packed(rows: pa.Table, ts: np.ndarray, starts: np.ndarray) -> list[tuple[bytes, int]]:
+        if names is not None:
+            return pack_blocks(ts, np.stack([rows[v].to_numpy() for v in names], axis=1), starts, codec == "guarded")
+        lists = rows["values"].combine_chunks()
+        widths, flat = pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)
+        sizes = np.diff(np.append(starts, len(ts)))
+        out: list = [None] * len(starts)
+        for k in np.unique(widths[starts]).tolist():
+            chosen = np.flatnonzero(widths[starts] == k)
+            rows_k = np.repeat(widths[starts] == k, sizes)
+            if (widths[rows_k] != k).any():
+                raise ValueError("points of one block differ in their number of values")
+            values = flat[np.repeat(rows_k, widths)].reshape(-1, k)
+            for b, done in zip(chosen.tolist(), pack_blocks(ts[rows_k], values, np.cumsum(sizes[chosen]) - sizes[chosen], codec == "guarded"), strict=True):
+                out[b] = done
+        return out
 
     def encode(rows: pa.Table) -> pa.RecordBatch:
         keys = [rows[c].combine_chunks() for c in KEYS]
@@ -37,7 +58,7 @@ def pack(assigned: DataFrame, variables: Sequence[str], codec: str = "standard")
         if counts.max() > LARGE_BLOCK_POINTS:
             warnings.warn(f"a block holds {counts.max()} points; late data may have piled up in it", stacklevel=2)
         ts = rows["ts"].to_numpy()
-        done = pack_blocks(ts, np.stack([rows[v].to_numpy() for v in names], axis=1), starts, codec == "guarded")
+        done = packed(rows, ts, starts)
         m = len(starts)
         columns = [k.take(pa.array(starts)) for k in keys]
         columns += [pa.array(counts), pa.array(np.minimum.reduceat(ts, starts)), pa.array(np.maximum.reduceat(ts, starts)), pa.array([codec] * m)]
@@ -61,8 +82,8 @@ def pack(assigned: DataFrame, variables: Sequence[str], codec: str = "standard")
         if held:
             yield encode(pa.Table.from_batches(held))
 
-    cols = [*KEYS, "seq", "ts", *(F.col(f"`{v}`") for v in names)]
-    dealt = assigned.select(*cols).repartition(*KEYS).sortWithinPartitions(*KEYS, "seq")
+    cols = assigned.select(*KEYS, "seq", "ts", *(["values"] if names is None else [F.col(f"`{v}`") for v in names]))
+    dealt = (cols.repartitionByRange(*KEYS) if by_range else cols.repartition(*KEYS)).sortWithinPartitions(*KEYS, "seq")
     return dealt.mapInArrow(kernel, BLOCK_SCHEMA)
 
 
@@ -119,38 +140,37 @@ def split_overflow(assigned: DataFrame) -> DataFrame:
     return out.withColumn("epoch", F.coalesce(limit, (F.col("epoch") * 4096 + F.col("_part")).cast("int"))).drop("_wide", "_part")
 
 
-def unpack(blocks: DataFrame, variables: Sequence[str], t0: int | None = None, t1: int | None = None) -> DataFrame:
-    """Decode blocks to points(series_key, epoch, block_start, pos, ts, variables); rows outside [t0, t1] never leave the kernel."""
+def unpack(blocks: DataFrame, variables: Sequence[str], t0: int | None = None, t1: int | None = None, damaged: str = "error") -> DataFrame:
+    """Decode blocks to points(series_key, epoch, block_start, pos, ts, variables); rows outside [t0, t1] never leave the kernel.
+
+    damaged: error, or keep for the points of a broken block that stand before the damage.
+    """
+    if damaged not in ("error", "keep"):
+        raise ValueError("damaged must be error or keep")
     names = check_variables(variables)
     schema = points_schema(names)
+    low, high = (-MAX_TS - 1 if t0 is None else t0), (MAX_TS if t1 is None else t1)
+
+    def decode(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        counts = part["n"].to_numpy()
+        ts, values, good = unpack_blocks(part["payload"].to_pylist(), counts, len(names), damaged == "error")
+        block = np.repeat(np.arange(len(counts)), counts)
+        pos = np.arange(len(ts)) - (np.cumsum(counts) - counts)[block]
+        keep = np.flatnonzero((pos < good[block]) & (ts >= low) & (ts <= high))
+        for lo in range(0, len(keep), OUT_ROWS):
+            at = keep[lo : lo + OUT_ROWS]
+            columns = [part[c].take(pa.array(block[at])) for c in KEYS] + [pa.array(pos[at]), pa.array(ts[at])]
+            columns += [pa.array(values[at, j]) for j in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*KEYS, "pos", "ts", *names])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
-        rows = 0
-
-        def emit() -> pa.RecordBatch:
-            counts = [len(p[3]) for p in parts]
-            repeat = pa.array(np.repeat(np.arange(len(parts)), counts))
-            columns = [pa.array([p[i] for p in parts], t).take(repeat) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))]
-            values = np.concatenate([p[5] for p in parts])
-            columns += [pa.array(np.concatenate([p[3] for p in parts])), pa.array(np.concatenate([p[4] for p in parts]))]
-            columns += [pa.array(np.ascontiguousarray(values[:, j])) for j in range(len(names))]
-            return pa.RecordBatch.from_arrays(columns, names=["series_key", "epoch", "block_start", "pos", "ts", *names])
-
         for batch in batches:
-            for key, epoch, start, n, payload in zip(*(batch[c].to_pylist() for c in (*KEYS, "n", "payload")), strict=True):
-                ts, values = unpack_block(payload, n, len(names))
-                at = np.arange(n)
-                if t0 is not None or t1 is not None:
-                    at = np.flatnonzero((ts >= (t0 if t0 is not None else -MAX_TS - 1)) & (ts <= (t1 if t1 is not None else MAX_TS)))
-                if at.size:
-                    parts.append((key, epoch, start, at, ts[at], values[at]))
-                    rows += len(at)
-                if rows >= OUT_ROWS:
-                    yield emit()
-                    parts, rows = [], 0
-        if parts:
-            yield emit()
+            ends, lo = np.cumsum(batch["n"].to_numpy()), 0
+            while lo < batch.num_rows:
+                done = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, done + DECODE_POINTS, "right")))
+                yield from decode(batch.slice(lo, hi - lo))
+                lo = hi
 
     return blocks.select(*KEYS, "n", "payload").mapInArrow(kernel, schema)
 

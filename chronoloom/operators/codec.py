@@ -2,7 +2,8 @@
 
 Encoding computes every code as a (bits, width) pair with array operations and
 expands them in one go; only the choice of XOR windows is a loop. Decoding is
-bit-serial by nature and reads up to 64 bits a step from the byte buffer.
+bit-serial within a block, so many blocks are decoded in lockstep, one array
+step per point index; the few longest of a batch are finished one by one.
 """
 
 from __future__ import annotations
@@ -271,36 +272,136 @@ def pack_block(ts: np.ndarray, values: np.ndarray, guarded: bool = False) -> tup
     return pack_blocks(ts, values, np.zeros(1, np.int64), guarded)[0]
 
 
-def unpack_block(data: bytes, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n points: timestamps (n,) and values (n, k)."""
-    src = BitSource(data)
-    ts, images = np.zeros(n, np.int64), np.zeros((n, k), U64)
-    t = delta = 0
-    last, window = [0] * k, [(0, 0)] * k
-    bits = src.bits
-    for i in range(n):
+#: Code lengths of a delta-of-delta by the next four bits of the stream.
+HEADS = np.array([1] * 8 + [2] * 4 + [3] * 2 + [4] * 2, np.int64)
+PAYLOADS = np.array([0] * 8 + [7] * 4 + [9] * 2 + [12, 32], np.int64)
+#: Fewer open blocks than this are decoded one by one.
+LOCKSTEP = 24
+
+
+class _Words:
+    """Reads 64 bits from any bit position of a byte buffer, for many positions at once."""
+
+    def __init__(self, payloads: list[bytes], slack: int):
+        sizes = np.array([len(p) for p in payloads], np.int64)
+        self.stop = 8 * np.cumsum(sizes)
+        self.start = self.stop - 8 * sizes
+        raw = np.frombuffer(b"".join([*payloads, bytes(slack)]), np.uint8).astype(U64)
+        self.after, n = raw, len(raw) - 8
+        self.word = np.zeros(n, U64)
+        for k in range(8):
+            self.word = self.word << U64(8) | raw[k : k + n]
+
+    def at(self, pos: np.ndarray) -> np.ndarray:
+        byte, bit = pos >> 3, (pos & 7).astype(U64)
+        return self.word[byte] << bit | self.after[byte + 8] >> (U64(8) - bit)
+
+
+def unpack_blocks(payloads: list[bytes], counts: np.ndarray, k: int, strict: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Timestamps (N,), values (N, k) of all blocks back to back, and how many points of each block were read.
+
+    A damaged block raises when strict; else its points before the damage
+    count, and its other rows are left at zero.
+    """
+    counts = np.asarray(counts, np.int64)
+    base = np.cumsum(counts) - counts
+    total, m = int(counts.sum()), len(counts)
+    ts, images, good = np.zeros(total, np.int64), np.zeros((total, k), U64), counts.copy()
+    words = _Words(payloads, 24 + 10 * k)
+    pos, t, delta = words.start.copy(), np.zeros(m, np.int64), np.zeros(m, np.int64)
+    last, lead, trail = np.zeros((k, m), U64), np.zeros((k, m), np.int64), np.zeros((k, m), np.int64)
+    act, i = np.flatnonzero(counts > 0), 0
+    while len(act) >= LOCKSTEP:
+        p = pos[act]
+        broken = np.zeros(len(act), bool)
+        x = words.at(p)
         if i == 0:
-            t = src.signed(64)
+            t[act], p = x.view(np.int64), p + 64
         elif i == 1:
-            delta = src.signed(64)
-            t += delta
+            delta[act], p = x.view(np.int64), p + 64
+            t[act] += delta[act]
         else:
-            if bits(1):
-                size = 7 if not bits(1) else 9 if not bits(1) else 12 if not bits(1) else 32
-                delta += src.signed(size)
-            t += delta
-        ts[i] = t
+            kind = (x >> U64(60)).astype(np.int64)
+            head, size = HEADS[kind], PAYLOADS[kind]
+            d = (x << head.astype(U64)).view(np.int64) >> np.minimum(64 - size, 63)
+            delta[act] += np.where(size > 0, d, 0)
+            t[act] += delta[act]
+            p = p + head + size
         for j in range(k):
+            x = words.at(np.minimum(p, words.stop[-1]))
             if i == 0:
-                last[j] = bits(64)
-            elif bits(1):
+                last[j, act], p = x, p + 64
+                continue
+            kind = (x >> U64(62)).astype(np.int64)
+            fresh = kind == 3
+            rows = act[fresh]
+            lead[j, rows] = (x[fresh] >> U64(57) & U64(31)).astype(np.int64)
+            trail[j, rows] = 63 - lead[j, rows] - (x[fresh] >> U64(51) & U64(63)).astype(np.int64)
+            p = p + np.where(kind < 2, 1, np.where(fresh, 13, 2))
+            coded = np.flatnonzero(kind > 1)
+            rows = act[coded]
+            low = trail[j, rows]
+            broken[coded[low < 0]] = True
+            low = np.maximum(low, 0)
+            own = 64 - lead[j, rows] - low
+            bits = words.at(np.minimum(p[coded], words.stop[-1])) >> (64 - own).astype(U64)
+            last[j, rows] ^= bits << low.astype(U64)
+            p[coded] += own
+        broken |= p > words.stop[act]
+        if broken.any():
+            if strict:
+                raise ValueError("a block's bit stream is damaged or has ended early")
+            good[act[broken]] = i
+            act, p = act[~broken], p[~broken]
+        pos[act] = p
+        ts[base[act] + i], images[base[act] + i] = t[act], last[:, act].T
+        i += 1
+        act = act[counts[act] > i]
+    for b in act.tolist():
+        window = list(zip(lead[:, b].tolist(), trail[:, b].tolist(), strict=True))
+        state = (int(pos[b] - words.start[b]), int(t[b]), int(delta[b]), last[:, b].tolist(), window)
+        a, z = base[b], base[b] + counts[b]
+        good[b] = _finish_block(payloads[b], i, state, ts[a:z], images[a:z], strict)
+    return ts, images.view(np.float64), good
+
+
+def _finish_block(data: bytes, first: int, state: tuple, ts: np.ndarray, images: np.ndarray, strict: bool) -> int:
+    """Decode one block from point first on into ts and images; returns how many points hold."""
+    src = BitSource(data)
+    src.pos, t, delta, last, window = state
+    bits, (n, k) = src.bits, images.shape
+    for i in range(first, n):
+        try:
+            if i == 0:
+                t = src.signed(64)
+            elif i == 1:
+                delta = src.signed(64)
+                t += delta
+            else:
                 if bits(1):
-                    lead, own = bits(5), bits(6) + 1
-                    window[j] = lead, 64 - lead - own
-                lead, trail = window[j]
-                own = 64 - lead - trail
-                if not 0 <= own <= 64 or trail < 0:
-                    raise ValueError("invalid window width in the stream")
-                last[j] ^= bits(own) << trail
-            images[i, j] = last[j]
-    return ts, images.view(np.float64)
+                    size = 7 if not bits(1) else 9 if not bits(1) else 12 if not bits(1) else 32
+                    delta += src.signed(size)
+                t += delta
+            for j in range(k):
+                if i == 0:
+                    last[j] = bits(64)
+                elif bits(1):
+                    if bits(1):
+                        lead, own = bits(5), bits(6) + 1
+                        window[j] = lead, 64 - lead - own
+                    lead, trail = window[j]
+                    if trail < 0:
+                        raise ValueError("invalid window width in the stream")
+                    last[j] ^= bits(64 - lead - trail) << trail
+            ts[i], images[i] = t, last
+        except (EOFError, ValueError, OverflowError):
+            if strict:
+                raise
+            return i
+    return n
+
+
+def unpack_block(data: bytes, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n points: timestamps (n,) and values (n, k)."""
+    ts, values, _ = unpack_blocks([data], np.array([n]), k)
+    return ts, values

@@ -26,7 +26,11 @@ def series_stats(sizes: DataFrame, num_variables: int = 1, size_column: str = "s
         F.sum("n").alias("total_points"), F.count("*").alias("num_blocks"), F.coalesce(F.sum(size_column), F.lit(0)).alias("compressed_bytes")
     )
     out = out.withColumns({"num_variables": F.lit(num_variables).cast("bigint"), "original_bytes": F.col("total_points") * (8 + 8 * num_variables)})
-    return out.withColumns(_measures(F.col("total_points"), F.col("original_bytes"), F.col("compressed_bytes")))
+    return with_measures(out)
+
+
+def with_measures(sums: DataFrame) -> DataFrame:
+    return sums.withColumns(_measures(F.col("total_points"), F.col("original_bytes"), F.col("compressed_bytes")))
 
 
 def store_stats(per_series: DataFrame) -> DataFrame:
@@ -71,3 +75,19 @@ def xor_classes(sizes: DataFrame, codecs: Sequence[str] = ("standard", "guarded"
 def csv_bytes(spark, path: str) -> DataFrame:
     """The size of the raw files, for a ratio against text."""
     return spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("csv_bytes"))
+
+
+def final_comparison(named: dict[str, DataFrame]) -> DataFrame:
+    """Points, variables, ratio and savings of several data sets' series_stats, one row per series, under the data set's name.
+
+    A data set without any series has one row of nulls, as an absent one is shown too.
+    """
+    out = None
+    for name, stats in named.items():
+        label = stats.sparkSession.createDataFrame([(name,)], "dataset string")
+        cols = stats.select("series_key", "total_points", "num_variables", *(F.round(c, 2).alias(c) for c in ("compression_ratio", "savings_percent")))
+        rows = label.join(cols, F.lit(True), "left")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no data sets to compare")
+    return out

@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chronoloom.operators.codec import BitSink, BitSource, pack_block, pack_blocks, twos_complement, unpack_block
+from chronoloom.operators.codec import BitSink, BitSource, pack_block, pack_blocks, twos_complement, unpack_block, unpack_blocks
 
 
 def test_twos_complement():
@@ -105,3 +105,35 @@ def test_long_block(monkeypatch):
     whole = pack_block(ts, v)
     monkeypatch.setattr(codec, "SLICE", 37)
     assert pack_block(ts, v) == whole
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_lockstep(data):
+    """Array steps, single steps and a switch between them give the same points, damaged blocks included."""
+    from chronoloom.operators import codec
+
+    rng = np.random.default_rng(data.draw(st.integers(0, 2**32)))
+    k, m = data.draw(st.integers(1, 3)), data.draw(st.integers(1, 12))
+    counts = rng.integers(1, 12, m)
+    starts = np.cumsum(counts) - counts
+    n = int(counts.sum())
+    scale = data.draw(st.sampled_from([1, 100, 3000, 2**28]))
+    ts = rng.integers(-(2**50), 2**50) + np.cumsum(rng.integers(-scale, scale + 1, n))
+    values = rng.integers(0, 2**64, (n, k), dtype=np.uint64) & np.uint64(data.draw(st.sampled_from([2**64 - 1, 0xFFF0000000000000, 0xFF00, 1])))
+    payloads = [p for p, _ in pack_blocks(ts, values.view(np.float64), starts, data.draw(st.booleans()))]
+    broken = [p[: rng.integers(0, len(p) + 1)] if rng.random() < 0.3 else p for p in payloads]
+    was, seen = codec.LOCKSTEP, []
+    try:
+        for codec.LOCKSTEP in (1, 5, 1000):
+            t, v, good = unpack_blocks(payloads, counts, k)
+            assert (t == ts).all() and (v.view(np.uint64) == values).all() and (good == counts).all()
+            t, v, good = unpack_blocks(broken, counts, k, strict=False)
+            for a, g in zip(starts, good, strict=True):
+                assert (t[a : a + g] == ts[a : a + g]).all() and (v[a : a + g].view(np.uint64) == values[a : a + g]).all()
+            seen.append(good.tolist())
+    finally:
+        codec.LOCKSTEP = was
+    assert seen[0] == seen[1] == seen[2]
+    noise = [bytes(rng.integers(0, 256, 40, dtype=np.uint8)) for _ in counts]
+    unpack_blocks(noise, counts, k, strict=False)
