@@ -7,19 +7,20 @@ lineitem: four variables per point, series = l_suppkey, sorted by ship date.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoloom.functions.bits import clz64, ctz64, dod_bucket, dod_cost, double_bits, from_twos_complement, leading, twos_complement
+from chronoloom.functions.bits import clz64, ctz64, dod_bucket, dod_cost, double_bits, format_bytes, from_twos_complement, leading, twos_complement
 from chronoloom.functions.times import wall_millis
 from chronoloom.operators import analytics
 from chronoloom.operators.assign import assign_blocks, with_deltas
 from chronoloom.operators.blocks import pack, query_all, range_query, unpack
 from chronoloom.operators.sizing import block_sizes, with_xor
-from chronoloom.operators.stats import codec_comparison, dod_histogram, series_stats, store_stats, xor_classes
+from chronoloom.operators.stats import codec_comparison, csv_bytes, dod_histogram, final_comparison, series_stats, store_stats, xor_classes
 from chronoloom.schema import KEYS, validate_points
 
 DAY = 86_400_000
@@ -215,9 +216,11 @@ def codecs_agree(spark, sf_dir):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one where that is unset."""
+    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -279,6 +282,158 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("series_key", "block_start", "n", F.col("bit_len").alias("bits"))
 
 
+def bit_stream(spark, sf_dir):
+    """A stream of single bits, bit fields, reserved, patched and whole words and raw bytes per event, and what is read back."""
+    import pyarrow as pa
+
+    from chronoloom.operators.codec import BitSink, BitSource
+
+    def kernel(batches):
+        for batch in batches:
+            out = []
+            for kind, seq, ts in zip(*(batch[c].to_pylist() for c in ("series_key", "seq", "ts")), strict=True):
+                s = BitSink()
+                s.bit(1)
+                s.bits(seq % 8, 3)
+                at = s.reserve_u32()
+                s.i64(ts)
+                s.u64(seq)
+                s.raw(kind.encode())
+                s.patch_u32(at, seq)
+                r = BitSource(s.getvalue())
+                row = {"seq": seq, "stream": s.getvalue().hex(), "bits": s.bit_length(), "bytes": s.byte_length(), "peeked": r.peek(), "head": r.bits(4)}
+                row |= {"u32": r.u32(), "i64": r.i64(), "u64": r.u64(), "bits_left": r.bits_remaining, "tail": r.raw(len(kind.encode())).decode()}
+                out.append(row)
+            yield pa.RecordBatch.from_pylist(out)
+
+    schema = "seq bigint, stream string, bits bigint, bytes bigint, peeked bigint, head bigint, u32 bigint, i64 bigint, u64 bigint, bits_left bigint, tail string"
+    return event_points(spark, sf_dir).select("series_key", "seq", "ts").mapInArrow(kernel, schema)
+
+
+def single_block(spark, sf_dir):
+    """One block per series, whatever its length."""
+    s = block_sizes(assign_blocks(event_points(spark, sf_dir), None), ["value"], ["guarded"])
+    return s.select("series_key", "block_start", "n", F.col("guarded_bits").alias("bits"))
+
+
+def locf(spark, sf_dir):
+    """Every third value is missing and takes the last one before it."""
+    holes = event_points(spark, sf_dir).withColumn("value", F.when(F.col("seq") % 3 != 0, F.col("value")))
+    return analytics.locf(holes, "value").select("series_key", "seq", "value")
+
+
+def formatted_sizes(spark, sf_dir):
+    s = series_stats(event_sizes(spark, sf_dir), 1, "standard_bytes")
+    return s.select("series_key", format_bytes(F.col("original_bytes")).alias("original"), format_bytes(F.col("compressed_bytes")).alias("compressed"))
+
+
+def csv_ratio(spark, sf_dir):
+    """Bytes of the events' times and ids as text against the blocks' bytes."""
+    folder = scratch(spark, "text")
+    event_points(spark, sf_dir).select(F.concat_ws(",", "ts", "seq").alias("line")).write.text(folder)
+    packed = event_sizes(spark, sf_dir).agg(F.sum("standard_bytes").alias("compressed_bytes"))
+    return csv_bytes(spark, folder).join(packed, F.lit(True)).withColumn("ratio", F.round(F.col("csv_bytes") / F.col("compressed_bytes"), 6))
+
+
+def compare_datasets(spark, sf_dir):
+    """Univariate events beside four-variable line items and a data set that isn't there."""
+    lines = block_sizes(assign_blocks(line_points(spark, sf_dir), 20 * DAY), LINE_VARIABLES, ["standard"])
+    whole = lines.withColumn("series_key", F.lit("lineitem"))
+    none = series_stats(event_sizes(spark, sf_dir).filter("false"), 1, "standard_bytes")
+    return final_comparison(
+        {"events": series_stats(event_sizes(spark, sf_dir), 1, "standard_bytes"), "lineitem": series_stats(whole, 4, "standard_bytes"), "absent": none}
+    )
+
+
+def room_csv(spark, sf_dir):
+    """Line items in the twelve positional columns of the room file, every seventh row with an unreadable value."""
+    from chronoloom.sources.loaders import load_room_climate_csv
+
+    folder = scratch(spark, "room")
+    li = table(spark, sf_dir, "lineitem")
+    bad = F.when(F.col("l_orderkey") % 7 == 0, F.lit("x")).otherwise(F.col("l_linenumber").cast("string"))
+    whole = [F.col(c).cast("bigint").cast("string") for c in ("l_quantity", "l_partkey", "l_suppkey", "l_linenumber", "l_orderkey", "l_quantity", "l_partkey")]
+    zero = F.lit("0")
+    cells = [zero, F.col("l_orderkey").cast("string"), zero, zero, *whole, bad]
+    li.select(*(c.alias(f"c{i}") for i, c in enumerate(cells))).write.option("header", True).csv(folder)
+    p = load_room_climate_csv(spark, folder)
+    return p.select("ts", "temp", "humidity", "light1", "light2", "occupancy", "activity", "door", "window")
+
+
+def named_csv(spark, sf_dir):
+    """Columns found by their header names, in another order, between others."""
+    from chronoloom.sources.loaders import load_named_csv
+
+    folder = scratch(spark, "named")
+    e = table(spark, sf_dir, "events")
+    wall = F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("timestamp")
+    e.select(F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("value"), wall).write.option("header", True).csv(folder)
+    return load_named_csv(spark, folder, "named").select("series_key", "ts", "value")
+
+
+def _framed_folder(spark, sf_dir, blocks=None):
+    from chronoloom.sources.formats import write_series_files
+
+    folder = scratch(spark, "framed")
+    write_series_files(_blocks(spark, sf_dir) if blocks is None else blocks, folder, ["value"]).write.mode("overwrite").format("noop").save()
+    return folder
+
+
+def framed_text_range(spark, sf_dir):
+    """Framed files of all series between two wall-clock texts of another time zone."""
+    from chronoloom.sources.formats import query_framed
+
+    folder = _framed_folder(spark, sf_dir)
+    return _decoded(query_framed(spark, folder, ["value"], "2024-01-08 02:00:00", "2024-01-17 02:00:00", tz="Europe/Bucharest"))
+
+
+def framed_damaged(spark, sf_dir):
+    """Blocks cut to 20 bytes: the first point of each is kept, and the next block is read."""
+    from chronoloom.sources.formats import query_framed
+
+    folder = _framed_folder(spark, sf_dir, _blocks(spark, sf_dir).withColumn("payload", F.substring("payload", 1, 20)))
+    return _decoded(query_framed(spark, folder, ["value"], 0, (1 << 63) - 1, damaged="keep"))
+
+
+def _filled_store(spark, sf_dir):
+    """A univariate series, one of two variables and an empty one; the first is flushed in between."""
+    from chronoloom.plans.store import SeriesStore
+
+    store = SeriesStore(spark, scratch(spark, "store"))
+    store.create_series("click", ["value"], DAY)
+    store.create_series("empty", ["value"], DAY)
+    store.create_series("two wide", ["value", "id"], DAY)
+    p = event_points(spark, sf_dir)
+    store.insert("click", p.filter("series_key = 'click'").select("seq", "ts", "value"))
+    store.flush_all()
+    store.insert("two wide", p.filter("series_key <> 'click'").select("seq", "ts", "value", F.col("seq").cast("double").alias("id")))
+    return store
+
+
+def store_totals(spark, sf_dir):
+    """Sealed and open blocks of series of different widths, in one aggregate."""
+    return _filled_store(spark, sf_dir).every_series_stats().select("series_key", "num_variables", "total_points", "num_blocks", "original_bytes")
+
+
+def store_catalog(spark, sf_dir):
+    """Series in creation order with their variables, what a scan of all finds of each, and an absent key."""
+    store = _filled_store(spark, sf_dir)
+    store.flush_all()
+    found = None
+    for key, blocks in store.scan_all():
+        row = blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("points")).withColumn("series_key", F.lit(key))
+        found = row if found is None else found.unionByName(row)
+    absent = store.query("absent", T0, T1).agg(F.count("*").alias("points")).select(F.lit("absent").alias("series_key"), F.lit(0).cast("bigint").alias("blocks"), "points")
+    names = store.catalog().select("series_key", "created_seq", F.concat_ws(",", "variable_names").alias("variables"))
+    return found.unionByName(absent).join(names, "series_key", "left")
+
+
+def store_wide_range(spark, sf_dir):
+    """A range of the series of two variables, which is still open."""
+    p = _filled_store(spark, sf_dir).query("two wide", T0, T1)
+    return p.select("series_key", "ts", double_bits(F.col("value")).alias("vb"), F.col("id").cast("bigint").alias("id"))
+
+
 QUERIES = {
     "scan_points": scan_points,
     "assign_blocks": assign_events,
@@ -317,6 +472,19 @@ QUERIES = {
     "raw_roundtrip": raw_roundtrip,
     "store_roundtrip": store_roundtrip,
     "stream_ingest": stream_ingest,
+    "bit_stream": bit_stream,
+    "single_block": single_block,
+    "locf": locf,
+    "formatted_sizes": formatted_sizes,
+    "csv_ratio": csv_ratio,
+    "final_comparison": compare_datasets,
+    "room_csv": room_csv,
+    "named_csv": named_csv,
+    "framed_text_range": framed_text_range,
+    "framed_damaged": framed_damaged,
+    "store_totals": store_totals,
+    "store_catalog": store_catalog,
+    "store_wide_range": store_wide_range,
 }
 
 _P = "p as (select event_type as series_key, event_id as seq, (epoch_us(ts) // 1000)::bigint as ts, value from events)"
@@ -401,6 +569,21 @@ _RATES = """round(case when total_points > 0 then compressed_bytes * 8 / total_p
 _RATIO = "round(case when compressed_bytes > 0 then original_bytes / compressed_bytes else 0 end, 6) as compression_ratio"
 _SAVE = "round(case when original_bytes > 0 then (1 - compressed_bytes / original_bytes) * 100 else 0 end, 6) as savings_percent"
 _IN = f"ts between {T0} and {T1}"
+_WHOLE = _SIZES.replace(_A, _P + ", b as (select *, arg_min(ts, seq) over (partition by series_key) as block_start from p)")
+_TWO = "case when series_key = 'click' then 'click' else 'two wide' end"
+_MERGED = f"""p as (select {_TWO} as series_key, seq, ts, value from (select event_type as series_key, event_id as seq, (epoch_us(ts) // 1000)::bigint as ts, value from events)),
+  b as (select *, max(ts - ((ts % {DAY}) + {DAY}) % {DAY}) over (partition by series_key order by seq rows unbounded preceding) as block_start from p)"""
+
+
+def _units(c: str) -> str:
+    steps = " ".join(f"when {c} < {1024 ** (k + 1)} then printf('%.2f {u}', {c} / {1024**k}::double)" for k, u in enumerate(("B", "KB", "MB", "GB")))
+    return f"case {steps} else printf('%.2f TB', {c} / {1024**4}::double) end"
+
+
+def _line_stats() -> str:
+    return f"""select 'lineitem' as series_key, sum(n)::bigint as total_points, 4::bigint as num_variables, sum(n)::bigint * 40 as original_bytes,
+      sum((standard_bits + 7) // 8)::bigint as compressed_bytes from ({_multi_sizes_sql()})"""
+
 
 ORACLE_SQL = {
     "scan_points": f"with {_P} select * from p",
@@ -452,4 +635,29 @@ ORACLE_SQL = {
     "raw_roundtrip": f"with {_SIZES} select series_key, block_start, n, standard_bytes as bytes from z",
     "store_roundtrip": f"with {_P} select {_VB} from p where {_IN} and series_key = 'click'",
     "stream_ingest": f"with {_SIZES} {_NOT_LAST}",
+    "bit_stream": f"""with {_P} select seq, lower(lpad(to_hex(128 + seq % 8 * 16), 2, '0') || lpad(to_hex(seq), 8, '0') || lpad(to_hex(ts), 16, '0') || lpad(to_hex(seq), 16, '0')
+      || hex(series_key)) as stream, (168 + 8 * strlen(series_key))::bigint as bits, (21 + strlen(series_key))::bigint as bytes, 1::bigint as peeked,
+      (8 + seq % 8)::bigint as head, seq as u32, ts as i64, seq as u64, (8 * strlen(series_key))::bigint as bits_left, series_key as tail from p""",
+    "single_block": f"with {_WHOLE} select series_key, block_start, n, guarded_bits as bits from z",
+    "locf": f"""with {_P} select series_key, seq, last_value(case when seq % 3 <> 0 then value end ignore nulls)
+      over (partition by series_key order by seq rows unbounded preceding) as value from p""",
+    "formatted_sizes": f"with {_STATS} select series_key, {_units('original_bytes')} as original, {_units('compressed_bytes')} as compressed from st",
+    "csv_ratio": f"""with {_STATS}, t as (select sum(length(ts::varchar) + length(seq::varchar) + 2)::bigint as csv_bytes from p),
+      c as (select sum(compressed_bytes)::bigint as compressed_bytes from st) select csv_bytes, compressed_bytes, round(csv_bytes / compressed_bytes, 6) as ratio from t, c""",
+    "final_comparison": f"""with {_STATS}, lines as ({_line_stats()}), u as (select 'events' as dataset, series_key, total_points, num_variables, original_bytes, compressed_bytes from st
+      union all select 'lineitem', * from lines) select dataset, series_key, total_points, num_variables, round(original_bytes / compressed_bytes, 2) as compression_ratio,
+      round((1 - compressed_bytes / original_bytes) * 100, 2) as savings_percent from u union all select 'absent', null, null, null, null, null""",
+    "room_csv": """select l_orderkey as ts, floor(l_quantity)::double as temp, l_partkey::double as humidity, l_suppkey::double as light1, l_linenumber::double as light2,
+      l_orderkey::double as occupancy, floor(l_quantity)::double as activity, l_partkey::double as door, l_linenumber::double as "window" from lineitem where l_orderkey % 7 <> 0""",
+    "named_csv": "select 'named' as series_key, epoch_us(date_trunc('second', ts)) // 1000 as ts, event_id::double as value from events",
+    "framed_text_range": f"with {_A} select {_VB} from b where ts between 1704672000000 and 1705449600000",
+    "framed_damaged": f"with {_D} select {_VB} from d where rn = 1",
+    "store_totals": f"""with {_MERGED}, s as (select series_key, count(*) as total_points, count(distinct block_start) as num_blocks from b group by 1),
+      c as (select * from (values ('click', 1::bigint), ('empty', 1), ('two wide', 2)) v(series_key, num_variables))
+      select series_key, num_variables, coalesce(total_points, 0)::bigint as total_points, coalesce(num_blocks, 0)::bigint as num_blocks,
+      coalesce(total_points, 0)::bigint * (8 + 8 * num_variables) as original_bytes from c left join s using (series_key)""",
+    "store_catalog": f"""with {_MERGED}, s as (select series_key, count(*) as points, count(distinct block_start) as blocks from b group by 1),
+      c as (select * from (values ('click', 0::bigint, 'value'), ('empty', 1, 'value'), ('two wide', 2, 'value,id'), ('absent', null, null)) v(series_key, created_seq, variables))
+      select series_key, coalesce(blocks, 0)::bigint as blocks, coalesce(points, 0)::bigint as points, created_seq, variables from c left join s using (series_key)""",
+    "store_wide_range": f"with {_MERGED} select {_VB}, seq as id from b where {_IN} and series_key = 'two wide'",
 }
