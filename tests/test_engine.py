@@ -133,3 +133,23 @@ def test_bit_text(spark):
         bit_string(F.lit(-1), 3).alias("a"), align_bits(F.lit("101")).alias("b"), format_bytes(F.lit(1536)).alias("c"), bit_string(F.lit(5), 0).alias("d")
     ).first()
     assert tuple(row) == ("111", "10100000", "1.50 KB", "")
+
+
+def test_framed_splits_and_names(spark, tmp_path, monkeypatch):
+    """A file is split at the offsets of its sidecar; keys of any characters name files of their own."""
+    from chronoloom.sources import formats
+
+    monkeypatch.setattr(formats, "INDEX_BYTES", 300)
+    folder, keys = str(tmp_path / "split"), ["\x101", "ā", "_a", ".b", "a/b"]
+    assert len({formats.file_name(k) for k in keys}) == 5 and [formats.key_of(formats.file_name(k)) for k in keys] == keys
+    rows = points(spark, [(i * 3_600_000, i) for i in range(200)])
+    many = rows.withColumn("series_key", F.explode(F.array(*(F.lit(k) for k in keys))))
+    blocks = compress(many)
+    write_series_files(blocks, folder, ["value"]).count()
+    whole = read_framed(spark, folder)
+    split = spark.read.format("framed_blocks").option("partBytes", "400").load(folder)
+    assert split.rdd.getNumPartitions() > whole.rdd.getNumPartitions()
+    assert split.exceptAll(whole).count() == 0 and split.count() == whole.count() == blocks.count()
+    assert query_framed(spark, folder, ["value"], "1970-01-01 02:00:00", "1970-01-01 03:00:00", "ā", tz="Europe/Bucharest").count() == 2
+    with pytest.raises(ValueError):
+        unpack(blocks, ["value"], damaged="skip")
