@@ -1,105 +1,176 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last WINDOW lines ends a chunk wherever
-it falls on a fixed residue, so chunk boundaries follow content and an inserted
-line shifts only the chunk it lies in; no boundary leaves a last line alone. A
-chunk of at least two lines with words that occurs more than once anywhere is
-kept at its first place (smallest id, then smallest line) and removed
-elsewhere, after its bytes were compared with the first copy's.
+A rolling hash over the hashes of WINDOW adjacent lines marks where chunks begin
+and end, at LEVELS independent levels: a chunk runs from a line that begins one
+to the nearest line that ends one, so both its edges follow from lines inside
+it, and what stands around a repeated passage changes neither. One more level
+cuts the whole text into consecutive chunks, so that every line lies in one. A
+chunk of at least two lines with words that occurs more than once anywhere stays
+at its first place (smallest id, then smallest line); every line that another
+copy covers goes, after the copy's bytes were compared with the first one's.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import materialize, table
 
-WINDOW, RESIDUE, MIN_LINES, MAX_LINES = 2, 2, 2, 64
+#: A passage of two lines is a chunk at one level with a probability of 1/4, so at any of eight with 0.90; the first line of a
+#: longer one begins a chunk with 1/2 a level, 0.996 in all.
+WINDOW, LEVELS, RESIDUE, MIN_LINES, MAX_LINES = 2, 8, 2, 2, 64
 MASK, FACTOR = (1 << 64) - 1, 0x9E3779B97F4A7C15
+#: The levels whose bit is set, for each value of LEVELS bits.
+BITS = [[k for k in range(LEVELS) if x >> k & 1] for x in range(1 << LEVELS)]
+#: Bytes of chunks that a task holds before it hands them on.
+BATCH_BYTES = 32 << 20
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def rolled(hashes: list[int]) -> list[int]:
+    """The rolling hash over each WINDOW adjacent line hashes."""
+    out, roll, gone = [], 0, pow(FACTOR, WINDOW, 1 << 64)
+    for i, h in enumerate(hashes):
+        roll = (roll * FACTOR + h - (hashes[i - WINDOW] * gone if i >= WINDOW else 0)) & MASK
+        if i + 1 >= WINDOW:
+            mixed = (roll ^ roll >> 32) * FACTOR & MASK
+            out.append(mixed ^ mixed >> 29)
+    return out
+
+
 def chunk_lines(lines: list[bytes]) -> list[tuple[int, int]]:
-    """(first line, number of lines) of each chunk; together they cover all lines."""
-    out, start, digest = [], 0, xxhash.xxh64_intdigest
-    hashes = list(map(digest, lines))
-    for i in range(len(lines)):
+    """(first line, number of lines) of each chunk in order; chunks of different levels overlap, together they cover all lines.
+
+    Chunks between marks have at most MAX_LINES lines: a mark without its end in that reach begins none.
+    """
+    marks = rolled(list(map(xxhash.xxh64_intdigest, lines)))
+    out, start = set(), 0
+    for i, mark in enumerate(marks, WINDOW - 1):
         size = i + 1 - start
-        if size < MIN_LINES or i + 2 == len(lines):
-            continue
-        roll = 0
-        for h in hashes[max(start, i + 1 - WINDOW) : i + 1]:
-            roll = (roll * FACTOR + h) & MASK
-        if (roll * FACTOR & MASK) >> 40 & (RESIDUE - 1) == 0 or size >= MAX_LINES:
-            out.append((start, size))
+        if size >= MIN_LINES and i + 2 < len(lines) and (mark >> 60 & (RESIDUE - 1) == 0 or size >= MAX_LINES):
+            out.add((start, size))
             start = i + 1
-    if start < len(lines):
-        out.append((start, len(lines) - start))
-    return out
+    out.add((start, len(lines) - start))
+    ends, top = [len(lines) + MAX_LINES] * LEVELS, (1 << LEVELS) - 1
+    for i in range(len(marks) - 1, -1, -1):
+        for k in BITS[marks[i] >> 32 & top]:
+            ends[k] = i + WINDOW
+        for k in BITS[marks[i] & top]:
+            if ends[k] - i <= MAX_LINES:
+                out.add((i, ends[k] - i))
+    return sorted(out)
+
 
+def bounds(lines: list[bytes]) -> list[int]:
+    """Where each line begins in text, and one past its end."""
+    return list(accumulate((len(x) + 1 for x in lines), initial=0))
 
-def chunks(rows: DataFrame, with_text: bool) -> DataFrame:
-    """(id, th, start, n, h, size[, chunk]) of every chunk of rows(_id, _text) that has two lines with words."""
+
+def chunks(rows: DataFrame) -> DataFrame:
+    """(id, th, start, n, h, size) of every chunk of rows(_id, _text) that has two lines with words."""
     kind = rows.schema["_id"].dataType
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "th", "start", "n", "h", "size", *(["chunk"] if with_text else [])]
+        names, kinds = ["id", "th", "start", "n", "h", "size"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         for batch in batches:
-            owner, cols = [], [[] for _ in names[1:]]
+            owner, cols = [], [[] for _ in kinds]
             for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 if not text or b"\n" not in text:
                     continue
                 th, lines = signed(xxhash.xxh64_intdigest(text, 42)), text.split(b"\n")
+                at, worded = bounds(lines), list(accumulate((bool(x.strip()) for x in lines), initial=0))
                 for start, n in chunk_lines(lines):
-                    part = lines[start : start + n]
-                    if n < MIN_LINES or sum(1 for x in part if x.strip()) < MIN_LINES:
+                    if worded[start + n] - worded[start] < MIN_LINES:
                         continue
-                    body = b"\n".join(part)
+                    body = text[at[start] : at[start + n] - 1]
+                    owner.append(i)
+                    for c, v in zip(cols, (th, start, n, signed(xxhash.xxh64_intdigest(body, 1)), len(body)), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int32())), *map(pa.array, cols, kinds)], names=names)
+
+    return rows.select("_id", "_text").mapInArrow(kernel, f"id {kind.simpleString()}, th bigint, start int, n int, h bigint, size bigint")
+
+
+def bodies(rows: DataFrame) -> DataFrame:
+    """(id, th, start, n, h, size, is_first, chunk): the bytes of the chunks that rows(id, _text, th, wanted) name."""
+    kind = rows.schema["id"].dataType
+    parts = ("start", "n", "h", "size", "is_first")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+        for batch in batches:
+            owner, cols, held = [], [[] for _ in kinds], 0
+            texts, wanted, hashes = batch.column(1), batch.column(3), batch.column(2).to_pylist()
+
+            def full() -> pa.RecordBatch:
+                ids = batch.column(0).take(pa.array(owner, pa.int32()))  # noqa: B023
+                return pa.RecordBatch.from_arrays([ids, *map(pa.array, cols, kinds)], names=["id", "th", *parts, "chunk"])  # noqa: B023
+
+            for i in range(batch.num_rows):
+                text = texts[i].as_py().encode()
+                at = bounds(text.split(b"\n"))
+                for x in wanted[i].as_py():
+                    body = text[at[x["start"]] : at[x["start"] + x["n"]] - 1]
                     owner.append(i)
-                    for c, v in zip(cols, (th, start, n, signed(xxhash.xxh64_intdigest(body, 1)), len(body), body), strict=False):
+                    held += len(body)
+                    for c, v in zip(cols, (hashes[i], *(x[p] for p in parts), body), strict=True):
                         c.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            arrays = [batch.column(0).take(pa.array(owner, pa.int32())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    if held > BATCH_BYTES:
+                        yield full()
+                        owner, cols, held = [], [[] for _ in kinds], 0
+            yield full()
 
-    schema = f"id {kind.simpleString()}, th bigint, start int, n int, h bigint, size bigint" + (", chunk binary" if with_text else "")
-    return rows.select("_id", "_text").mapInArrow(kernel, schema)
+    schema = f"id {kind.simpleString()}, th bigint, start int, n int, h bigint, size bigint, is_first boolean, chunk binary"
+    return rows.select("id", "_text", "th", "wanted").mapInArrow(kernel, schema)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col cleaned, plus n_lines, removed_lines and removed_chunks, which replace columns of those names; all others stay.
 
-    A document that loses every line has the empty text; a null text stays
-    null and has no lines. A null id comes before all others. Rows that share
-    id and text are one document and get equal results. An empty table gives an
-    empty result.
+    removed_chunks counts the runs of removed lines. A document that loses every
+    line has the empty text; a null text stays null and has no lines. A null id
+    comes before all others. Rows that share id and text are one document and
+    get equal results. Where a chunk overlaps its own first copy, as in a line
+    that is repeated over and over, the lines of that copy that no other covers
+    stay. An empty table gives an empty result.
     """
     own = {"_id": F.col(id_col), "_text": F.col(text_col).cast("string")}
     rows = docs.select(*(c.alias(k) for k, c in own.items()))
     place = F.struct("id", "th", "start")
-    seen = chunks(rows, False).groupBy("h", "size").agg(F.count("*").alias("c"), F.min(place).alias("first"))
+    found = materialize(chunks(rows), "chunks")
+    seen = found.groupBy("h", "size").agg(F.count("*").alias("c"), F.min(place).alias("first"))
     repeated = materialize(seen.filter("c > 1").select("h", "size", "first"), "repeated")
-    copies = materialize(chunks(rows, True).join(repeated.hint("merge"), ["h", "size"]), "copies")
-    is_first = place.eqNullSafe(F.col("first"))
-    # written first, so that the join reads two tables and a chunk of very many copies can be split
-    kept = materialize(copies.filter(is_first).dropDuplicates(["h", "size"]).select("h", "size", F.col("chunk").alias("original")), "kept")
-    later = copies.filter(~is_first).join(kept, ["h", "size"]).filter(F.col("chunk") == F.col("original"))
-    ranges = later.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("_r"))
+    # both sides are written tables, so that a chunk of very many copies can be split
+    hits = found.join(repeated.hint("merge"), ["h", "size"]).withColumn("is_first", place.eqNullSafe(F.col("first")))
+    hits = materialize(hits.select("id", "th", F.struct("start", "n", "h", "size", "is_first").alias("hit")), "hits")
+    wanted = materialize(hits.groupBy("id", "th").agg(F.collect_set("hit").alias("wanted")), "wanted")
+    # Spark's xxhash64 of a string is XXH64 of its UTF-8 bytes with seed 42, as the kernel computes it
+    texts = rows.filter("_text is not null").withColumn("_th", F.xxhash64("_text"))
+    named = texts.join(wanted.hint("merge"), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")))
+    copies = materialize(bodies(named), "copies")
+    kept = materialize(copies.filter("is_first").dropDuplicates(["h", "size"]).select("h", "size", F.col("chunk").alias("original")), "kept")
+    later = copies.filter("not is_first").join(kept.hint("merge"), ["h", "size"]).filter(F.col("chunk") == F.col("original"))
+    later = materialize(later.select("id", "th", "start", (F.col("start") + F.col("n")).alias("end")), "later")
+    by_place = Window.partitionBy("id", "th").orderBy("start", "end")
+    before = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    runs = later.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(by_place))
+    runs = runs.groupBy("id", "th", "run").agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("n"))
+    ranges = runs.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("_r"))
     ranges = materialize(ranges.select(F.col("id").alias("_rid"), F.col("th").alias("_rth"), "_r"), "ranges")
 
     # names of the caller's columns are never used for the steps between
     own = iter(n for n in (f"_dedup{i}" for i in range(len(docs.columns) + 9)) if n not in docs.columns)
     rid, rth, r, th, lines, clean = (next(own) for _ in range(6))
     ranges = ranges.withColumnsRenamed({"_rid": rid, "_rth": rth, "_r": r})
-    # Spark's xxhash64 of a string is XXH64 of its UTF-8 bytes with seed 42, as the kernel computes it
     hashed = docs.withColumn(th, F.xxhash64(F.col(text_col).cast("string")))
     both = hashed.join(ranges.hint("merge"), F.col(id_col).eqNullSafe(F.col(rid)) & (F.col(th) == F.col(rth)), "left")
     both = both.withColumn(lines, F.split(F.col(text_col), "\n", -1))

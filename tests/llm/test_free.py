@@ -18,22 +18,17 @@ DATA = "/root/testdata/sf0.001"
 
 
 def brute_lines(rows):
-    """Texts after removing later copies of chunks, by comparing the chunks themselves in order of id."""
+    """Texts after removing every line of later copies of chunks, by comparing the chunks themselves in order of id."""
     seen, out = set(), {}
     for i, text in sorted(rows, key=lambda r: r[0]):
-        if text is None:
-            out[i] = None
-            continue
-        lines, kept = text.split("\n"), []
-        for start, n in chunk_lines([x.encode() for x in lines]) if "\n" in text else [(0, 1)]:
+        lines, gone = (text or "").split("\n"), set()
+        for start, n in chunk_lines([x.encode() for x in lines]) if len(lines) > 1 else []:
             part = lines[start : start + n]
-            body = "\n".join(part)
-            if n >= 2 and sum(1 for x in part if x.encode().strip()) >= 2:
-                if body in seen:
-                    continue
+            if sum(1 for x in part if x.encode().strip()) >= 2:
+                body = "\n".join(part)
+                gone |= set(range(start, start + n)) if body in seen else set()
                 seen.add(body)
-            kept += part
-        out[i] = "\n".join(kept)
+        out[i] = None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
 
@@ -76,10 +71,27 @@ def test_line_dedup_keeps_columns_of_any_name(spark):
 def test_chunks_resist_shifts():
     lines = [f"{i * i % 1009} x".encode() for i in range(400)]
     cut = lambda x: {b"\n".join(x[a : a + n]) for a, n in chunk_lines(x)}
-    assert sum(n for _, n in chunk_lines(lines)) == 400
+    assert {k for a, n in chunk_lines(lines) for k in range(a, a + n)} == set(range(400))
     assert len(cut(lines) - cut([b"new"] + lines)) <= 3
 
 
+def test_line_dedup_recall_on_passages(spark):
+    rng = random.Random(8)
+    passages = [[f"passage {p} line {k}" for k in range(2 + p % 9)] for p in range(300)]
+    texts = [[f"before {c} {p}", *lines, f"after {c} {p}"] for c in range(2) for p, lines in enumerate(passages)]
+    rows = [(i, "\n".join([f"head {i} {rng.random()}" for _ in range(i % 3)] + x)) for i, x in enumerate(texts)]
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[i].removed_lines == 0 for i in range(300)) and all(f"before 1 {i}" in got[300 + i].text and f"after 1 {i}" in got[300 + i].text for i in range(300))
+    assert sum(got[300 + i].removed_lines for i in range(300)) >= 0.95 * sum(map(len, passages))
+
+
+def test_line_dedup_on_a_very_long_text_and_equal_lines(spark):
+    long = "\n".join(f"long line {i}" for i in range(60_000))
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame([(1, long), (2, "x\n" + long), (3, "same\n" * 5000)], "doc_id bigint, text string")).collect()}
+    assert got[1].text == long and got[2].removed_lines == 60_000 and got[2].text == "x"
+    assert set(got[3].text.split("\n")) == {"same", ""}
+
+
 def test_no_last_line_stands_alone():
     for n in range(2, 60):
         found = chunk_lines([f"{n} {i}".encode() for i in range(n)])
