@@ -3,28 +3,34 @@
 Statistics are native column expressions over whole texts. The outlier rule
 estimates the minimum covariance determinant of transformed statistic vectors
 by concentration steps: each step ranks all documents of a group by Mahalanobis
-distance, keeps the closer half and estimates centre and scatter again. Ranks
-come from counts over fixed distance bins, so a group of any size needs only
-partial aggregates; no row is collected, sampled or sorted.
+distance, keeps the closer half and estimates centre and scatter again. Three
+starts are concentrated until their determinants fall no more, and the smallest
+one's estimates count. Ranks come from counts over fixed distance bins, so a group of
+any size needs only partial aggregates; no row is collected, sampled or sorted.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialize, sized_broadcast, table, text_of, words_of
+from chronoloom.llm.common import materialize, table, text_of, words_of
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 #: Documents a (language, source) group needs for estimates of its own; smaller ones use their language's, or all documents'.
 MIN_GROUP = 60
 #: The group of all documents; no group's name starts like it.
 WHOLE = "*"
-STEPS = 3
-#: Squared distance beyond which a document is rejected. Chosen after looking at the distances in the check documents,
-#: where any value from 63 to 106 decides alike; chi-square of five degrees of freedom exceeds 75 with a probability of
-#: about 1e-14, so that only gross outliers go. A parameter of quality_rules for other corpora.
-CUTOFF = 75.0
+#: Concentration steps at most; a start ends as soon as its log determinant falls by no more than SETTLED.
+STEPS, SETTLED = 12, 1e-9
+#: Starts: medians with the floors as scales; mean and scatter of all; mean and scatter of deviations drawn in to within a floor.
+STARTS = 3
+#: Share of clean documents that the cutoff may cost: less than one of the 5e10 documents in 100 TB.
+CLEAN_LOSS = 2e-11
 #: Smallest standard deviation of each transformed statistic; keeps the scatter regular where half of a group is constant.
 FLOORS = (0.30, 0.08, 0.35, 0.50, 0.35)
 #: Consistency factor of the half-sample scatter for five normal dimensions.
@@ -32,8 +38,24 @@ CONSISTENCY = 1.0 / 0.4378
 #: Bins per unit of the log distance, and per unit of a statistic for the starting medians.
 BINS, MEDIAN_BINS = 40, 50
 P = 5
+#: The log determinant of a start, which is not of half a group and so compares with none; a start goes on while its own falls.
+UNJUDGED, FALLS = 1e300, f"det < was - {SETTLED!r}"
+
+
+def chi_square_cutoff(tail: float) -> float:
+    """The value that chi-square of P = 5 degrees of freedom exceeds with probability tail."""
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        x = (low + high) / 2
+        over = math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+        low, high = (x, high) if over > tail else (low, x)
+    return round(high, 3)
+
+
+#: Squared distance beyond which a document is rejected.
+CUTOFF = chi_square_cutoff(CLEAN_LOSS)
 #: Group estimates (about 250 bytes each) that are broadcast; more are joined by shuffle.
-BROADCAST_GROUPS, SALTS = 50_000, 64
+BROADCAST_GROUPS, SALTS = 150_000, 64
 GROUP = ("lang", "source")
 
 
@@ -95,7 +117,10 @@ for _i, _j in PAIRS:
 for _i, _j in PAIRS:
     _sum = " + ".join(f"l{_i}{_k} * v{_k}{_j}" for _k in range(_j, _i))
     SOLVE.append(f"1 / l{_i}{_i} as v{_i}{_i}" if _i == _j else f"-({_sum}) / l{_i}{_i} as v{_i}{_j}")
+SOLVE.append("2 * (" + " + ".join(f"ln(l{i}{i})" for i in range(P)) + ") as det")
 PARAMETERS = [f"c{i}" for i in range(P)] + [f"v{i}{j}" for i, j in PAIRS]
+#: A statistic with its deviation from the centre drawn in to within a floor.
+DRAWN = [f"c{i} + (x{i} - c{i}) / (1 + abs(x{i} - c{i}) / {FLOORS[i]!r})" for i in range(P)]
 START = [f"1 / {FLOORS[i]!r} as v{i}{j}" if i == j else f"0.0D as v{i}{j}" for i, j in PAIRS]
 
 
@@ -112,28 +137,43 @@ def _cut(histogram: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Centre and inverse Cholesky factor per g, from vectors(g, x0..x4).
-
-    Starts at the binned medians with the floors as scales, then concentrates.
-    """
+    """Centre and inverse Cholesky factor per g, from vectors(g, x0..x4): of the starts, concentrated, the one of smallest determinant."""
     long = vectors.selectExpr("g", f"stack({P}, {', '.join(f'{i}, {x}' for i, x in enumerate(X))}) as (i, x)")
     histogram = long.groupBy("g", "i", F.floor(F.col("x") * MEDIAN_BINS).alias("bin")).agg(F.count("*").alias("n"))
     centre = _cut(histogram, ["g", "i"]).groupBy("g")
-    middle = [F.max(F.when(F.col("i") == i, (F.col("cut") + 0.5) / MEDIAN_BINS)).alias(f"c{i}") for i in range(P)]
-    found = materialize(centre.agg(*middle).selectExpr("g", *(f"c{i}" for i in range(P)), *START), "mcd")
+    middle = materialize(centre.agg(*(F.max(F.when(F.col("i") == i, (F.col("cut") + 0.5) / MEDIAN_BINS)).alias(f"c{i}") for i in range(P))), "middle")
     # where the estimates are too many to broadcast, the join deals rows by g; the salt then brings a shuffle of
     # partial sums behind it, so that a large group's rows are split and never summed in one task
     salted = vectors.withColumn("salt", F.pmod(F.xxhash64(*X), F.lit(SALTS)))
     sums = [m.split(" as ")[1] for m in MOMENTS]
+
+    # no later table has more rows than a start for each group
+    small = STARTS * middle.count() <= BROADCAST_GROUPS
+
+    def joinable(estimate: DataFrame) -> DataFrame:
+        return F.broadcast(estimate) if small else materialize(estimate, "mcd")
+
+    def solved(rows: DataFrame) -> DataFrame:
+        partial = rows.groupBy("g", "k", "salt").agg(*(F.expr(m) for m in MOMENTS), F.max("det").alias("was"))
+        moments = partial.groupBy("g", "k").agg(*(F.sum(c).alias(c) for c in sums), F.max("was").alias("was"))
+        return moments.selectExpr("g", "k", "was", *SOLVE).select("g", "k", "was", "det", *PARAMETERS)
+
+    drawn = salted.join(joinable(middle), "g").selectExpr("g", "salt", "2 as k", *(f"{e} as {x}" for e, x in zip(DRAWN, X, strict=True)))
+    others = solved(salted.withColumn("k", F.lit(1)).unionByName(drawn).withColumn("det", F.lit(UNJUDGED))).drop("was", "det")
+    medians = middle.selectExpr("g", "0 as k", *(f"c{i}" for i in range(P)), *START)
+    going, passed = materialize(medians.unionByName(others).withColumn("det", F.lit(UNJUDGED)), "mcd"), []
     for _ in range(steps):
-        placed = salted.join(sized_broadcast(found, BROADCAST_GROUPS), "g").selectExpr("g", "salt", f"{BIN} as bin")
-        counted = placed.groupBy("g", "bin", "salt").agg(F.count("*").alias("n")).groupBy("g", "bin").agg(F.sum("n").alias("n"))
-        cut = materialize(found.join(_cut(counted, ["g"]), "g"), "mcd")
-        inner = salted.join(sized_broadcast(cut, BROADCAST_GROUPS), "g").filter(F.expr(f"{BIN} <= cut"))
-        partial = inner.groupBy("g", "salt").agg(*(F.expr(m) for m in MOMENTS))
-        moments = partial.groupBy("g").agg(*(F.sum(c).alias(c) for c in sums))
-        found = materialize(moments.selectExpr("g", *SOLVE).select("g", *PARAMETERS), "mcd")
-    return found
+        placed = salted.join(joinable(going), "g").selectExpr("g", "k", "salt", f"{BIN} as bin")
+        counted = placed.groupBy("g", "k", "bin", "salt").agg(F.count("*").alias("n")).groupBy("g", "k", "bin").agg(F.sum("n").alias("n"))
+        cut = going.join(_cut(counted, ["g", "k"]), ["g", "k"])
+        inner = salted.join(joinable(cut), "g").filter(F.expr(f"{BIN} <= cut"))
+        passed.append(materialize(solved(inner), "mcd"))
+        going = passed[-1].filter(FALLS)
+        if going.isEmpty():
+            break
+    every = reduce(DataFrame.unionByName, passed)
+    best = every.groupBy("g").agg(F.min_by(F.struct(*PARAMETERS), F.struct("det", "k")).alias("best"))
+    return materialize(best.select("g", "best.*"), "mcd")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: tuple[str, str] = GROUP, min_group: int = MIN_GROUP, cutoff: float = CUTOFF) -> DataFrame:
@@ -182,6 +222,18 @@ def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("distance", "text_hash")
 
 
+def _solve_in_levels(source: str) -> str:
+    """SOLVE over a table as nested selects, as DuckDB writes out an alias anew wherever the same select uses it."""
+    level, levels = {}, {}
+    for item in SOLVE:
+        expression, name = item.rsplit(" as ", 1)
+        level[name] = 1 + max((level[x] for x in re.findall(r"\w+", expression) if x in level), default=0)
+        levels.setdefault(level[name], []).append(item)
+    for k in sorted(levels):
+        source = f"(select *, {', '.join(levels[k])} from {source})"
+    return source
+
+
 def _oracle() -> str:
     vector = ", ".join(f"{e} as {x}" for e, x in zip(VECTOR, X, strict=True))
     half = "qualify 2 * sum(n) over (partition by {k} order by bin) >= sum(n) over (partition by {k})"
@@ -204,16 +256,24 @@ def _oracle() -> str:
             case when '{WHOLE}' in (select g from gr) then '{WHOLE}' end])) as g, {vector} from st join gr using (own) where not base_failed)""",
         f"""h0 as (select g, i, floor(x * {MEDIAN_BINS}) as bin, count(*) as n from (select g, unnest(range({P})) as i, unnest([{", ".join(X)}]) as x from vec) group by all)""",
         f"m0 as (select g, i, min(bin) as cut from (select * from h0 {half.format(k='g, i')}) group by all)",
-        f"e0 as (select g, {', '.join(f'max(case when i = {i} then (cut + 0.5) / {MEDIAN_BINS} end) as c{i}' for i in range(P))}, {', '.join(START)} from m0 group by g)",
+        f"md as (select g, {', '.join(f'max(case when i = {i} then (cut + 0.5) / {MEDIAN_BINS} end) as c{i}' for i in range(P))} from m0 group by g)",
+        f"""s12 as (select g, 1 as k, {", ".join(X)} from vec union all
+            select g, 2, {", ".join(DRAWN)} from vec join md using (g))""",
+        f"q0 as (select g, k, {', '.join(MOMENTS)} from s12 group by all)",
+        f"""a0 as (select *, {UNJUDGED!r} as det from (select g, 0 as k, {", ".join(PARAMETERS[:P])}, {", ".join(START)} from md
+            union all select g, k, {", ".join(PARAMETERS)} from {_solve_in_levels("q0")}))""",
     ]
     for k in range(STEPS):
         ctes += [
-            f"h{k + 1} as (select g, {BIN} as bin, count(*) as n from vec join e{k} using (g) group by all)",
-            f"t{k + 1} as (select g, min(bin) as cut from (select * from h{k + 1} {half.format(k='g')}) group by g)",
-            f"q{k + 1} as (select g, {', '.join(MOMENTS)} from vec join e{k} using (g) join t{k + 1} using (g) where {BIN} <= cut group by g)",
-            f"e{k + 1} as (select g, {', '.join(SOLVE)} from q{k + 1})",
+            f"h{k + 1} as (select g, k, {BIN} as bin, count(*) as n from vec join a{k} using (g) group by all)",
+            f"t{k + 1} as (select g, k, min(bin) as cut from (select * from h{k + 1} {half.format(k='g, k')}) group by g, k)",
+            f"q{k + 1} as (select g, k, max(det) as was, {', '.join(MOMENTS)} from vec join a{k} using (g) join t{k + 1} using (g, k) where {BIN} <= cut group by g, k)",
+            f"e{k + 1} as (select g, k, was, det, {', '.join(PARAMETERS)} from {_solve_in_levels(f'q{k + 1}')})",
+            f"a{k + 1} as (select * from e{k + 1} where {FALLS})",
         ]
-    ctes.append(f"d as (select st.*, {vector}, e{STEPS}.* exclude (g) from st left join (select own, g from gr) using (own) left join e{STEPS} using (g) where not base_failed)")
+    passed = " union all ".join(f"select * from e{k + 1}" for k in range(STEPS))
+    ctes.append(f"best as (select * from ({passed}) qualify row_number() over (partition by g order by det, k) = 1)")
+    ctes.append(f"d as (select st.*, {vector}, best.* exclude (g) from st left join (select own, g from gr) using (own) left join best using (g) where not base_failed)")
     tail = f"""select st.doc_id, st.n_words, st.word_chars, st.n_symbols, st.n_dup_lines, st.n_repeat_words, st.base_failed,
       not st.base_failed and coalesce(x.ok, true) as kept, st.n_lines, st.n_upper
       from st left join (select doc_id, coalesce({DISTANCE} <= {CUTOFF}, true) as ok from d) x using (doc_id)"""
