@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from chronoloom.llm import near_copies as nc
 
@@ -60,3 +62,26 @@ def test_pipeline_drops_copies_with_changed_words(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' as lang", "'a' as source", "1L as n_chars")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()) == sorted(set(brute(rows).values()))
     assert len(set(brute(rows).values())) < 5
+
+
+def test_pairs_at_the_threshold_meet_in_simhash_tables():
+    rng = np.random.default_rng(7)
+    bits, tables = nc.bits_and_tables(200_000)
+    chosen, far, met = nc.chosen_bits(bits, tables), 0, 0
+    for _ in range(200):
+        common, own = rng.integers(0, 1 << 64, 800, np.uint64), rng.integers(0, 1 << 64, (2, 100), np.uint64)
+        a, b = (nc.fingerprint(np.concatenate([common, x])) for x in own)
+        far += int(nc.ones(a ^ b).sum()) > nc.FAR
+        x, y = nc.table_keys(np.stack([a, b]), chosen)
+        met += bool((x == y).any())
+    assert met >= 199 and far <= 1
+
+
+def test_cells_of_blocks_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{rng.randint(0, 5000)}" for _ in range(300)]
+    rows = [(i, changed(rng, words, rng.choice([2, 6, 9, 14, 20]))) for i in range(60)]
+    monkeypatch.setattr(nc, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(nc, "BLOCK_NODES", 8)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in nc.near_copies(df).collect()} == brute(rows)
