@@ -228,7 +228,7 @@ def suffix_spans(segments: DataFrame, length: int, width: int = 1) -> DataFrame:
     return dealt.select(*columns).mapInArrow(kernel, f"akey bigint, digest bigint, every {SPANS_SQL}, later {SPANS_SQL}")
 
 
-def crowded_spans(segments: DataFrame, length: int, width: int = 1, cell_size: int | None = None) -> DataFrame:
+def crowded_spans(segments: DataFrame, length: int, width: int = 1, cell_size: int | None = None, keep_first: bool = False) -> DataFrame:
     """The same for runs of crowded anchors, by counting hashed windows of recurring cores."""
     step = cell_size or CELL
 
@@ -285,8 +285,8 @@ def crowded_spans(segments: DataFrame, length: int, width: int = 1, cell_size: i
     more = repeats(width) if width == 1 else F.max("settled") | repeats(width)
     # written first, so that the join reads two tables and a window of very many runs can be split
     counted = materialize(found.groupBy("h1", "h2").agg(more.alias("more"), first.alias("first")).filter("more").drop("more"), "counted")
-    # a class of words that is settled repeats in full, its windows need no answer
-    hit = (found if width == 1 else found.filter("not settled")).join(counted, ["h1", "h2"]).withColumn("is_first", F.struct("id", "th", (F.col("place") + F.col("w")).alias("at")).eqNullSafe(F.col("first")))
+    # a settled class repeats in full; only its first run is asked for earlier windows
+    hit = (found if keep_first else found.filter("not settled")).join(counted, ["h1", "h2"]).withColumn("is_first", F.struct("id", "th", (F.col("place") + F.col("w")).alias("at")).eqNullSafe(F.col("first")))
     single = lambda c: F.transform(F.array_sort(F.collect_set(c)), lambda w: F.struct(w.alias("a"), (w + 1).alias("b")))
     return hit.groupBy("akey", "digest").agg(single(F.col("w")).alias("every"), single(F.when(~F.col("is_first"), F.col("w"))).alias("later"))
 
@@ -344,7 +344,7 @@ def repeated_spans(
     solved = suffix_spans(segments.filter(F.col("classes") <= crowd), length, width)
     crowded = segments.filter(F.col("classes") > crowd)
     if crowded.limit(1).count():
-        solved = solved.unionByName(crowded_spans(crowded, length, width, None if width == 1 else max(1, (length - k + 1) // 8)))
+        solved = solved.unionByName(crowded_spans(crowded, length, width, None if width == 1 else max(1, (length - k + 1) // 8), keep_first))
     solved = materialize(solved.filter(F.size("every") > 0), "solved")
 
     both = classes.join(solved, ["akey", "digest"], "left").filter(F.col("settled") | F.col("every").isNotNull())
